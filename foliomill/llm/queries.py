@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.llm import consensus
 from foliomill.llm.groups import hash_to_min
 from foliomill.llm.tokens import default_rank_file, encode_corpus
 from foliomill.runtime import table
@@ -19,12 +20,52 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_to_min(matches, "a", "b").select(F.col("vertex").alias("concept_id"), F.col("group").alias("group_id"))
 
 
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.counted_votes(table(spark, sf_dir, "alignment_vote"), "alignment_edge_id", "sample", "verdict", "confidence", "created_at")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict that holds for each edge voted on."""
+    result = consensus.fit(consensus.with_outcomes(_votes(spark, sf_dir)))
+    return consensus.verdicts(result).select(F.col("item").alias("alignment_edge_id"), "verdict")
+
+
+def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of each annotator with its posterior interval."""
+    result = consensus.fit(consensus.with_outcomes(_votes(spark, sf_dir)))
+    return consensus.reliability(result).withColumnRenamed("who", "sample")
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes and share of agreeing pairs of each edge."""
+    return consensus.item_agreement(_votes(spark, sf_dir)).withColumnRenamed("item", "alignment_edge_id")
+
+
+def p5_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha over all edges."""
+    return consensus.krippendorff(_votes(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", default_rank_file())
 
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids}
+QUERIES = {
+    "p2_found": p2_found,
+    "p5_found": p5_found,
+    "p5_reliability": p5_reliability,
+    "p5_agreement": p5_agreement,
+    "p5_alpha": p5_alpha,
+    "p6_ids": p6_ids,
+}
+
+_VOTES = """
+WITH x AS (SELECT alignment_edge_id AS e, sample AS s, created_at, regexp_replace(upper(verdict), '[^A-Z]', '', 'g') AS u FROM alignment_vote WHERE alignment_edge_id IS NOT NULL),
+y AS (SELECT e, created_at, s, CASE WHEN u LIKE 'CORROBORAT%' THEN 0 WHEN u LIKE 'CONTRADICT%' THEN 1 WHEN u LIKE 'SUPERSED%' THEN 2 WHEN u LIKE 'UNRELATED%' OR u LIKE 'NOTRELATED%' THEN 3 END AS k FROM x),
+v AS (SELECT e, k FROM y QUALIFY row_number() OVER (PARTITION BY e, s ORDER BY created_at DESC NULLS LAST, k DESC NULLS LAST) = 1),
+c AS (SELECT e, k, count(*) AS n FROM v WHERE k IS NOT NULL GROUP BY e, k)
+"""
 
 SQL = {
     "p2_found": """
@@ -34,4 +75,8 @@ s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(id, o) AS (SELECT a, least(a, b) FROM s UNION SELECT s.b, r.o FROM r JOIN s ON s.a = r.id WHERE r.o < s.b)
 SELECT id AS concept_id, min(o) AS group_id FROM r GROUP BY id
 """,
+    "p5_agreement": f"{_VOTES} SELECT e AS alignment_edge_id, CAST(sum(n) AS BIGINT) AS n_votes, CASE WHEN sum(n) > 1 THEN sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) END AS agreement FROM c GROUP BY e",
+    "p5_alpha": f"""{_VOTES}, m AS (SELECT e, sum(n) AS m FROM c GROUP BY e HAVING sum(n) > 1), p AS (SELECT c.*, m.m FROM c JOIN m USING (e)),
+i AS (SELECT count(DISTINCT e) AS n_items, CAST(sum(n) AS BIGINT) AS n_votes, sum(n * (m - n) / (m - 1)) AS o FROM p), q AS (SELECT sum(t * t) AS sq FROM (SELECT sum(n) AS t FROM p GROUP BY k))
+SELECT n_items, n_votes, 1 - o / ((CAST(n_votes AS DOUBLE) * n_votes - sq) / (n_votes - 1)) AS alpha FROM i, q""",
 }
