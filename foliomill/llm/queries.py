@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.llm import consensus
 from foliomill.llm.groups import hash_to_min
+from foliomill.llm.reference_list import match_values
 from foliomill.llm.tokens import default_rank_file, encode_corpus
 from foliomill.runtime import table
 
@@ -20,6 +21,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_to_min(matches, "a", "b").select(F.col("vertex").alias("concept_id"), F.col("group").alias("group_id"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The publisher_ref entry each book's publisher means, or -1."""
+    books = table(spark, sf_dir, "book").select("book_id", "publisher", "updated_at").where("book_id is not null")
+    matched = match_values(books, "publisher", table(spark, sf_dir, "publisher_ref"), "publisher_id", "name")
+    named = books.join(matched.withColumnRenamed("value", "publisher"), "publisher")
+    latest = named.groupBy("book_id").agg(F.max(F.struct("updated_at", "entry")).alias("row"))
+    return latest.select("book_id", F.coalesce("row.entry", F.lit(-1)).cast("long").alias("publisher_id"))
+
+
+def p4_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values that name no entry, with the number of rows they stand in."""
+    books = table(spark, sf_dir, "book").select("publisher")
+    matched = match_values(books, "publisher", table(spark, sf_dir, "publisher_ref"), "publisher_id", "name")
+    counts = books.groupBy("publisher").agg(F.count("*").alias("n_rows"))
+    return matched.where("entry is null").join(counts, F.col("value") == F.col("publisher")).select("publisher", "n_rows")
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.counted_votes(table(spark, sf_dir, "alignment_vote"), "alignment_edge_id", "sample", "verdict", "confidence", "created_at")
 
@@ -53,6 +71,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_misses": p4_misses,
     "p5_found": p5_found,
     "p5_reliability": p5_reliability,
     "p5_agreement": p5_agreement,
