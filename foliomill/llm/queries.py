@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.llm import consensus
 from foliomill.llm.groups import hash_to_min
+from foliomill.llm.leaks import find_leaks
 from foliomill.llm.reference_list import match_values
 from foliomill.llm.tokens import default_rank_file, encode_corpus
 from foliomill.runtime import table
@@ -69,6 +70,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", default_rank_file())
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation item that leaked into them."""
+    found = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+    return found.select("doc_id", "item_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
@@ -78,6 +85,7 @@ QUERIES = {
     "p5_agreement": p5_agreement,
     "p5_alpha": p5_alpha,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
 }
 
 _VOTES = """

@@ -43,9 +43,14 @@ def repair(text: str) -> str:
     return _GARBLED.sub(_reread, text)
 
 
+def hidden(text: str) -> str:
+    """The text without invisible characters."""
+    return _HIDDEN.sub("", text)
+
+
 def fold(text: str) -> str:
     """Lower case without accents, invisible characters and compatibility forms."""
-    plain = unicodedata.normalize("NFKD", _HIDDEN.sub("", text).translate(LETTERS))
+    plain = unicodedata.normalize("NFKD", hidden(text).translate(LETTERS))
     return "".join(c for c in plain if not unicodedata.combining(c)).casefold().translate(LETTERS)
 
 
