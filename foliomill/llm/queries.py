@@ -9,6 +9,7 @@ from foliomill.llm import consensus
 from foliomill.llm.groups import hash_to_min
 from foliomill.llm.leaks import find_leaks
 from foliomill.llm.reference_list import match_values
+from foliomill.llm.sentences import split_sentences
 from foliomill.llm.tokens import default_rank_file, encode_corpus
 from foliomill.runtime import table
 
@@ -76,6 +77,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of each document as offsets into its text."""
+    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
@@ -86,6 +92,7 @@ QUERIES = {
     "p5_alpha": p5_alpha,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 _VOTES = """
