@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from foliomill.llm import consensus
 from foliomill.llm.groups import hash_to_min
 from foliomill.llm.leaks import find_leaks
+from foliomill.llm.names import entities, same_pairs
 from foliomill.llm.reference_list import match_values
 from foliomill.llm.sentences import split_sentences
 from foliomill.llm.tokens import default_rank_file, encode_corpus
 from foliomill.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of author rows that name the same person or body."""
+    return same_pairs(entities(table(spark, sf_dir, "author"), "author_id", "name"), "author_id_a", "author_id_b")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest concept_id of its group for each linked concept."""
     known = table(spark, sf_dir, "concept").select("concept_id").distinct()
@@ -83,6 +89,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_misses": p4_misses,
