@@ -19,7 +19,7 @@ def connect(sf_dir):
 def _plain(value):
     if hasattr(value, "tolist"):
         value = value.tolist()
-    if value is None or value != value:
+    if value is None or type(value).__name__ in ("NAType", "NaTType") or value != value:
         return ""
     if isinstance(value, float):
         return f"{value:.5g}" if math.isfinite(value) else str(value)
