@@ -17,21 +17,19 @@ def connect(sf_dir):
 
 
 def _plain(value):
-    if hasattr(value, "tolist"):
-        value = value.tolist()
-    if value is None or type(value).__name__ in ("NAType", "NaTType") or value != value:
+    if value is None or value != value:
         return ""
     if isinstance(value, float):
-        return f"{value:.5g}" if math.isfinite(value) else str(value)
+        return f"{value:.6g}" if math.isfinite(value) else str(value)
     return str([_plain(v) for v in value]) if isinstance(value, list) else str(value)
 
 
-def rows_of(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple(map(_plain, row)) for row in frame.itertuples(index=False))
+def rows_of(table):
+    names = sorted(table.column_names)
+    return sorted(tuple(_plain(row[n]) for n in names) for row in table.to_pylist())
 
 
 def same(query, sql, spark, sf_dir, con):
-    left, right = query(spark, sf_dir).toPandas(), con.sql(sql).df()
-    assert sorted(left.columns) == sorted(right.columns)
+    left, right = query(spark, sf_dir).toArrow(), con.sql(sql).to_arrow_table()
+    assert sorted(left.column_names) == sorted(right.column_names)
     assert rows_of(left) == rows_of(right)
