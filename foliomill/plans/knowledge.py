@@ -176,7 +176,7 @@ _WORDS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z]+'), lambda t: t NO
 
 SQL = {
     "r10_graph_chapters": f"""WITH {CONCEPTS}, {_GR}, q AS (SELECT concept_id AS query FROM co WHERE concept_id % 20 = 0), w AS (SELECT query, query AS concept_id FROM q UNION SELECT query, dst FROM q JOIN gr ON src = query),
-h AS (SELECT query, to_chapter_id AS doc, count(DISTINCT concept_id) AS hits, count(*) AS mentions FROM w JOIN alignment_edge USING (concept_id) WHERE to_chapter_id IS NOT NULL GROUP BY 1, 2), s AS (SELECT *, round(hits + 0.1 * mentions, 6) AS score FROM h)
+h AS (SELECT query, to_chapter_id AS doc, count(DISTINCT concept_id) AS hits, count(*) AS mentions FROM w JOIN alignment_edge USING (concept_id) WHERE to_chapter_id IS NOT NULL GROUP BY 1, 2), s AS (SELECT *, round(CAST(hits + 0.1 * mentions AS DOUBLE), 6) AS score FROM h)
 SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= {PR.TOP}""",
     "r31_distinct_results": f"WITH {_BM} SELECT query, doc, rank FROM bm JOIN ch ON chapter_id = doc QUALIFY row_number() OVER (PARTITION BY query, book_id, content_hash ORDER BY rank) = 1",
     "r47_concept_gaps": f"WITH {CONCEPTS}, w AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('title')}) AS word FROM documents), k AS (SELECT DISTINCT unnest({_WORDS.format('name')}) AS word FROM co) SELECT word, count(*) AS n_documents FROM w WHERE word NOT IN (SELECT word FROM k) GROUP BY 1",
@@ -195,7 +195,7 @@ c AS (SELECT label, i, avg(x / norm) AS c, count(*) AS n FROM u WHERE norm > 0 G
 SELECT concept_id, chapter_id, word, substr(content, greatest(instr(lower(content), word) - 40, 1), 100) AS "window" FROM w WHERE instr(lower(content), word) > 0""",
     "x23_quoted_claims": rf"""WITH {CHAPTERS}, v AS (SELECT DISTINCT alignment_vote_id, alignment_edge_id, book_claim FROM alignment_vote WHERE book_claim IS NOT NULL), e AS (SELECT DISTINCT alignment_edge_id, to_chapter_id AS chapter_id FROM alignment_edge)
 SELECT alignment_edge_id, count(*) AS n_claims, count(*) FILTER (coalesce(contains(lower(trim(regexp_replace(content, '\s+', ' ', 'g'))), lower(trim(regexp_replace(book_claim, '\s+', ' ', 'g')))), false)) AS n_quoted FROM v JOIN e USING (alignment_edge_id) LEFT JOIN ch USING (chapter_id) GROUP BY 1""",
-    "x13_year_factor": rf"WITH {CHAPTERS}, y AS (SELECT chapter_id, list_sort(list_distinct(regexp_extract_all(content, '\b((?:19|20)\d\d)\b', 1))) AS ys FROM ch) SELECT chapter_id, array_to_string(ys, ',') AS years, CASE WHEN list_contains(ys, '2024') THEN 1.0 ELSE 0.9 END AS factor FROM y WHERE len(ys) > 0",
+    "x13_year_factor": rf"WITH {CHAPTERS}, y AS (SELECT chapter_id, list_sort(list_distinct(regexp_extract_all(content, '\b((?:19|20)\d\d)\b', 1))) AS ys FROM ch) SELECT chapter_id, array_to_string(ys, ',') AS years, CAST(CASE WHEN list_contains(ys, '2024') THEN 1.0 ELSE 0.9 END AS DOUBLE) AS factor FROM y WHERE len(ys) > 0",
     "g34_citations": "WITH e AS (SELECT DISTINCT concept_id, from_doc_section_id AS doc_id FROM alignment_edge WHERE from_doc_section_id IS NOT NULL AND concept_id IS NOT NULL), r AS (SELECT concept_id, doc_id, source, CAST(row_number() OVER (PARTITION BY concept_id, source ORDER BY doc_id) AS INTEGER) AS nth FROM e JOIN documents USING (doc_id) QUALIFY nth <= 2) SELECT concept_id, doc_id, nth, CAST(row_number() OVER (PARTITION BY concept_id ORDER BY nth, source NULLS FIRST, doc_id) AS INTEGER) AS place FROM r",
     "g42_triangles": f"WITH {_GR}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM gr a JOIN gr b ON a.dst = b.src JOIN gr c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND b.src < b.dst), u AS (SELECT unnest([x, y, z]) AS concept_id FROM t) SELECT concept_id, count(*) AS n_triangles FROM u GROUP BY 1",
     "i14_markdown_records": f"""WITH {BOOKS} SELECT book_id, concat_ws(chr(10), '## ' || CAST(book_id AS VARCHAR) || ' ' || coalesce(title, 'untitled'), CASE WHEN trim(publisher, ' ') <> '' THEN '- publisher: ' || publisher END, '- published: ' || CAST(publication_date AS VARCHAR), CASE WHEN trim(status) <> '' THEN '- status: ' || status END) AS markdown FROM bk""",
