@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """``df`` written as a table in the shared checkpoint folder and read again.
 
-    The files survive the loss of executors, so iterative operators can go on from them.
+    This cuts the lineage, survives the loss of executors and runs the plan once (a checkpoint
+    runs its last stage twice); the sizes of the files guide later joins.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cut_path = path
+    return written
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind a result of ``cut`` that no later plan reads (older rounds of a loop)."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
