@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomill.runtime import checkpoint_dir, cut, small_or_shuffled
+from foliomill.runtime import cut, release, small_or_shuffled
 
 #: The four verdicts, in the order that decides ties (fixed values).
 LABELS = ("CORROBORATES", "CONTRADICTS", "SUPERSEDED", "UNRELATED")
@@ -88,7 +88,6 @@ class Consensus:
 def fit(votes: DataFrame, max_rounds: int = 40, tolerance: float = 1e-4) -> Consensus:
     """Variational fit of ``with_outcomes`` rows; stops when expected counts move by less than ``tolerance`` of all votes."""
     spark = votes.sparkSession
-    checkpoint_dir(spark)
     classes = range(len(LABELS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     votes = cut(votes)
@@ -110,6 +109,7 @@ def fit(votes: DataFrame, max_rounds: int = 40, tolerance: float = 1e-4) -> Cons
             F.sum(sum((F.abs(F.col(f"n{k}") - F.col(f"o{k}")) for k in classes), F.lit(0.0))).alias("moved"),
             F.sum(sum((F.col(f"n{k}") for k in classes), F.lit(0.0))).alias("all"),
         ).first()
+        release(counts)
         counts = new
         if not moved["all"] or moved["moved"] < tolerance * moved["all"]:
             break

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.runtime import cut
+from foliomill.runtime import cut, release
 
 
 def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
@@ -33,7 +33,8 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> Data
         least = cluster.groupBy("v").agg(F.min("u").alias("m"))
         sent = cluster.join(least, "v")
         received = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
-        cluster = cut(received.select("x.v", "x.u").distinct())
+        before, cluster = cluster, cut(received.select("x.v", "x.u").distinct())
+        release(before)
         now = cluster.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             group = cluster.groupBy("v").agg(F.min("u").alias("g"))
