@@ -202,7 +202,8 @@ def channel(forms: DataFrame, key: list[str], word: str, count: str, most: Colum
     keyed = forms.select(*key, word, count, *extra, F.explode(near_keys_udf(word)).alias("_near"))
     other = keyed.select(*key, F.col(word).alias("canon"), F.col(count).alias("canon_count"), "_near")
     before = (F.col("canon_count") > F.col(count)) | ((F.col("canon_count") == F.col(count)) & (F.col("canon") < F.col(word)))
-    met = keyed.join(other, [*key, "_near"]).where(before).select(*key, word, count, *extra, "canon", "canon_count").distinct()
+    # the deletes are many times what their source's size suggests: never a broadcast
+    met = keyed.join(other.hint("merge"), [*key, "_near"]).where(before).select(*key, word, count, *extra, "canon", "canon_count").distinct()
     priced = met.withColumn("cost", cost_udf(word, "canon")).where(F.col("cost") <= most)
     posterior = F.log(F.col("canon_count") + 1.0) - PENALTY * (F.col("cost") - 1.0)
     better = priced.withColumn("score", posterior).where(F.col("score") >= F.log(F.col(count) + 1.0) - PENALTY)
