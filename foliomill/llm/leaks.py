@@ -1,16 +1,17 @@
 """Evaluation passages leaking into a corpus.
 
 Every item is cut into windows of ``WIDTH`` words, the size that a counting part of an item
-(12 words) holds untouched even with a changed word in every six. A window's SimHash sums
+(12 words) holds untouched even with two changes at any places. A window's SimHash sums
 its words' 64 signs, weighted by how rare the word is among the items; words of no item share
 one sign pattern. Documents are slid over with windows of the same size. A multi-index finds
 every item window within ``RADIUS`` bits: the 64 bits are cut into ``RADIUS + 2`` blocks, of
 which any two fingerprints within the radius share at least two, so each pair of blocks is
 looked up for equality and the candidates' whole distance is counted.
 
-Candidates are verified exactly: along the alignments that the windows propose, the words of
-the item are compared with the document's, and a passage counts where some stretch of
-``STRETCH`` words has at least ``SIMILARITY`` of its weight in matching two-word shingles.
+Candidates are verified exactly: around the alignments that the windows propose, a passage
+counts where some stretch of ``STRETCH`` words stands in the document with at most ``EDITS``
+words changed, left out or put in; a word with one typo is half an edit. At most ``TRIM`` edits
+may be at the ends of the stretch: with more there, only a shorter phrase is left.
 
 General notices are no passages: words of an item in a run that also stands in other items
 never match, and stretches found in more than ``NOTICE_SHARE`` of all documents (and at least
@@ -23,7 +24,7 @@ characters, whatever the size of the item set.
 Defined results: null, empty and blank texts hold nothing, and such items are found nowhere;
 repeated rows of a document or an item give one row per (document, item); an item shorter
 than a stretch counts when it stands whole; Chinese and Japanese are compared by character,
-with ``STRETCH_CHARS`` characters to a stretch; markup, case, spacing, punctuation and
+with ``STRETCH_CHARS`` characters to a stretch and ``EDITS_CHARS`` edits; markup, case, spacing, punctuation and
 invisible characters are not compared; extra columns are ignored.
 """
 
@@ -44,10 +45,17 @@ from pyspark.sql import functions as F
 from foliomill.llm.spelling import hidden
 from foliomill.runtime import cut
 
-WIDTH = 5
+WIDTH = 4
 RADIUS = 3
-STRETCH, STRETCH_CHARS = 11, 18
-SIMILARITY = 0.85
+STRETCH, STRETCH_CHARS = 12, 20
+#: Words (characters) that may be changed, left out or put in within a stretch, and how many of them at its ends.
+EDITS, EDITS_CHARS = 2, 4
+TRIM, TRIM_CHARS = 1, 2
+#: The share of a stretch's weight that must stand unchanged: the same phrase about other rare names is no passage.
+KEPT = 0.78
+#: Costs of an edit and of a word with one typo, and what no stretch can cost; below UNIT stands the lost weight in 1/100.
+UNIT = 1_000_000
+CHANGED, MISSPELT, FAR = 2 * UNIT, UNIT, 1000 * UNIT
 NOTICE_SHARE, NOTICE_LEAST = 0.003, 30
 #: Runs of so many words (characters) in two items are general text of the set.
 SHARED_RUN, SHARED_RUN_CHARS = 8, 14
@@ -70,6 +78,27 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", hidden(text)).casefold())
 
 
+def misspelt(a: str, b: str) -> bool:
+    """One letter more, less or another, or two neighbours swapped; in words of four letters or more."""
+    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
+        return False
+    short, most = min(len(a), len(b)), max(len(a), len(b))
+    head = next((i for i in range(short) if a[i] != b[i]), short)
+    tail = next((i for i in range(short - head) if a[-1 - i] != b[-1 - i]), short - head)
+    return head + tail >= most - 1 or (len(a) == len(b) == head + tail + 2 and a[head] == b[head + 1] and a[head + 1] == b[head])
+
+
+def padded(parts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """All parts in one array with gaps wider than any stretch before, between and behind, and where each begins."""
+    pad = 2 * STRETCH_CHARS
+    lengths = np.array([len(x) + pad for x in parts], dtype=np.int64)
+    begin = np.append(0, np.cumsum(lengths))[:-1] + pad
+    flat = np.full(int(lengths.sum()) + pad, gap, dtype=np.int32)
+    for at, x in zip(begin.tolist(), parts, strict=True):
+        flat[at : at + len(x)] = x
+    return flat, begin
+
+
 class ItemIndex:
     """Windows, fingerprints and words of a block of items; built from (item_id, text) of all blocks' words."""
 
@@ -84,8 +113,20 @@ class ItemIndex:
         self.signed = (signs * np.round(self.weight * 8)[:, None]).astype(np.int16)
         self.tokens = [np.array([self.vocabulary[w] for w in t], dtype=np.int32) for t in tokens]
         self.by_char = [bool(t) and sum(len(w) == 1 and ord(w) > 0x3000 for w in t) * 2 > len(t) for t in tokens]
+        self.spelt = tokens
+        self.rule = [self._rule(len(t), c) for t, c in zip(tokens, self.by_char, strict=True)]
+        self.least = np.array([size - 2 * edits for size, edits, _ in self.rule], dtype=np.int64)
         self._hide_shared()
         self._index()
+        self.flat, self.begin = padded(self.tokens, -3)
+        self.lost = [np.round(100 * self.weight[np.maximum(t, 0)]).astype(np.int64) for t in self.tokens]
+
+    @staticmethod
+    def _rule(m: int, by_char: bool) -> tuple[int, int, int]:
+        """(words of a stretch, edits, edits at its ends) of an item of m words; short items in proportion."""
+        size, edits, trim = (STRETCH_CHARS, EDITS_CHARS, TRIM_CHARS) if by_char else (STRETCH, EDITS, TRIM)
+        part = min(m, size) * edits // size
+        return min(m, size), part, min(trim, part)
 
     def _hide_shared(self) -> None:
         runs: dict[bytes, int] = {}
@@ -169,61 +210,100 @@ class ItemIndex:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
-    def verify(self, document: np.ndarray, k: int, shifts: np.ndarray) -> tuple[float, list[int]]:
-        """Best weighted shingle similarity of a stretch of item k, and the starts of all counting stretches."""
-        item = self.tokens[k]
-        m = len(item)
-        size = min(STRETCH_CHARS if self.by_char[k] else STRETCH, m)
-        at = np.arange(m)
-        same = np.zeros(m, dtype=bool)
-        best, starts = 0.0, set()
+    def _possible(self, flat: np.ndarray, w: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether enough words stand the same around each proposal (window at ``w`` of the padded texts, entry of the index)."""
+        out = np.zeros(len(w), dtype=bool)
+        around = np.arange(-STRETCH_CHARS + WIDTH, STRETCH_CHARS)
+        for a in range(0, len(w), 50_000):
+            k = self.item[entry[a : a + 50_000]]
+            own = self.flat[(self.begin[k] + self.at[entry[a : a + 50_000]])[:, None] + around]
+            met = np.zeros(own.shape, dtype=bool)
+            for s in range(-2, 3):
+                met |= own == flat[w[a : a + 50_000, None] + around + s]
+            out[a : a + 50_000] = met.sum(1) >= self.least[k]
+        return out
+
+    def verify(self, document: np.ndarray, spelt: list[str], k: int, shifts: np.ndarray) -> tuple[float, list[int]]:
+        """Best similarity of a stretch of item k, and the starts of all counting stretches."""
+        m = len(self.tokens[k])
+        size, edits, trim = self.rule[k]
+        found: dict[int, int] = {}
         shifts = np.unique(shifts)
-        groups = np.split(shifts, np.flatnonzero(np.diff(shifts) > 4) + 1)
-        weight = np.where(item > 0, self.weight[np.maximum(item, 0)], self.weight[0])
-        for group in groups:
-            same = np.zeros(m, dtype=bool)
-            for shift in range(int(group[0]), int(group[-1]) + 1):
-                where = at + shift
-                inside = (where >= 0) & (where < len(document))
-                same[inside] |= document[where[inside]] == item[inside]
-            if same.sum() < min(7, size):
-                continue
-            both = same[1:] & same[:-1] if m > 1 else same
-            pair = weight[1:] + weight[:-1] if m > 1 else weight
-            span = max(size - 1, 1)
-            total = np.convolve(pair, np.ones(span), "valid")
-            found = np.convolve(np.where(both, pair, 0.0), np.ones(span), "valid")
-            words_met = np.convolve(same, np.ones(size), "valid")
-            share = np.where(words_met >= 0.6 * size, found / total, 0.0)
-            best = max(best, float(share.max()))
-            starts |= set(np.flatnonzero(share >= SIMILARITY).tolist())
-        return best, sorted(starts)
+        for group in np.split(shifts, np.flatnonzero(np.diff(shifts) > 4) + 1):
+            where = np.arange(m)[:, None] + np.arange(int(group[0]) - 2, int(group[-1]) + 3)
+            inside = (where >= 0) & (where < len(document))
+            there = document[np.clip(where, 0, len(document) - 1)]
+            cost = np.where(inside & (there == self.tokens[k][:, None]), 0, CHANGED + self.lost[k][:, None])
+            here = self._stretches(cost, self.lost[k], size, edits, trim)
+            if not here:
+                for i, s in zip(*np.nonzero(inside & (there == 0)), strict=True):
+                    if self.tokens[k][i] > 0 and misspelt(self.spelt[k][i], spelt[where[i, s]]):
+                        cost[i, s] = MISSPELT
+                here = self._stretches(cost, self.lost[k], size, edits, trim) if (cost == MISSPELT).any() else here
+            for a, changed in here.items():
+                found[a] = min(changed, found.get(a, changed))
+        return (1 - min(found.values()) // UNIT * UNIT / (CHANGED * size) if found else 0.0), sorted(found)
+
+    @staticmethod
+    def _stretches(cost: np.ndarray, lost: np.ndarray, size: int, edits: int, trim: int) -> dict[int, int]:
+        """{start: cost} of the stretches that stand in the text with few enough edits and enough of their weight.
+
+        ``cost[i, s]`` is that of item word i on diagonal s. Each of the ``trim`` words that may be
+        changed at the ends of a stretch counts as an edit; what is left begins and ends with a match.
+        """
+        found: dict[int, int] = {}
+        common = int(lost.min())
+        ends = np.concatenate([np.full(trim, FAR), lost, np.full(trim, FAR)])
+        for less in range(trim + 1):
+            long, limit = size - less, CHANGED * (edits - less)
+            first = np.arange(len(cost) - long + 1)
+            d = np.where(cost[first] < CHANGED, cost[first], FAR)
+            for j in range(1, long - 1):
+                new = d + cost[first + j]
+                new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + CHANGED + lost[first + j][:, None])
+                for _ in range(edits):
+                    new[:, 1:] = np.minimum(new[:, 1:], new[:, :-1] + CHANGED + common)
+                d = new
+            if long > 1:
+                last = cost[first + long - 1]
+                d = np.where(last < CHANGED, d + last, FAR)
+            least = d.min(1)
+            own = np.convolve(lost, np.ones(long, dtype=np.int64), "valid")
+            # the changed ends: the lighter of the words on both sides
+            beside = sum((np.minimum(ends[first + trim - 1 - x], ends[first + trim + long + x]) for x in range(less)), np.zeros(len(first), dtype=np.int64))
+            beside = np.where(beside < FAR, beside, 0)
+            enough = least % UNIT + beside <= (1 - KEPT) * (own + beside)
+            for a in np.flatnonzero((least // UNIT * UNIT <= limit) & enough).tolist():
+                total = int(least[a]) + CHANGED * less
+                found[a] = min(total, found.get(a, total))
+        return found
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[int]]]:
         """(position of the text, item_id, similarity, counting starts) of each leak."""
         get = self.vocabulary.get
-        ids = [np.array([get(w, 0) for w in words(t)], dtype=np.int32) if t else np.zeros(0, dtype=np.int32) for t in texts]
-        lengths = np.array([len(x) for x in ids])
-        if not len(self.prints) or lengths.sum() < WIDTH:
+        spelt = [words(t) if t else [] for t in texts]
+        ids = [np.array([get(w, 0) for w in t], dtype=np.int32) for t in spelt]
+        if not len(self.prints) or sum(map(len, ids)) < WIDTH:
             return
-        flat = np.concatenate(ids)
-        begin = np.append(0, np.cumsum(lengths))
+        flat, begin = padded(ids, -2)
         known = np.append(0, np.cumsum(flat > 0))
-        first = np.arange(len(flat) - WIDTH + 1)
-        document = np.repeat(np.arange(len(ids)), lengths)
-        use = (known[WIDTH:] - known[:-WIDTH] >= WIDTH - 1) & (document[: len(first)] == document[WIDTH - 1 :])
-        first = first[use]
+        gap = np.append(0, np.cumsum(flat < 0))
+        first = np.flatnonzero((known[WIDTH:] - known[:-WIDTH] >= WIDTH - 1) & (gap[WIDTH:] == gap[:-WIDTH]))
         if not len(first):
             return
         windows = np.stack([flat[first + j] for j in range(WIDTH)], 1)
         left, right = self.near(self.fingerprints(windows))
+        n = self.span[right, 1] - self.span[right, 0]
+        entry = np.repeat(self.span[right, 0] - np.append(0, np.cumsum(n)[:-1])[: len(n)], n) + np.arange(n.sum())
+        w = np.repeat(first[left], n)
+        some = self._possible(flat, w, entry)
+        w, entry = w[some], entry[some]
+        document = np.searchsorted(begin, w, "right") - 1
         proposals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for w, p in zip(first[left].tolist(), right.tolist(), strict=True):
-            d = int(document[w])
-            for s in range(*self.span[p]):
-                proposals[d, int(self.item[s])].append(w - int(begin[d]) - int(self.at[s]))
+        for d, k, shift in zip(document.tolist(), self.item[entry].tolist(), (w - begin[document] - self.at[entry]).tolist(), strict=True):
+            proposals[d, k].append(shift)
         for (d, k), shifts in proposals.items():
-            score, starts = self.verify(ids[d], k, np.array(shifts))
+            score, starts = self.verify(ids[d], spelt[d], k, np.array(shifts))
             if starts:
                 yield d, int(self.ids[k]), score, starts
 

@@ -64,6 +64,51 @@ def test_notice_of_one_item_in_many_documents(spark):
     assert [(r.d, r.i) for r in found] == [(99, 1)]
 
 
+def plain(seed, n, size=30):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choices("bcdfghklmnprst", k=7)) for _ in range(size)) for _ in range(n)]
+
+
+def found_in(index, text):
+    return {i for _, i, *_ in index.scan([text])}
+
+
+def test_changes_at_every_position_of_a_part():
+    passages = plain(1, 40)
+    index = leaks.ItemIndex(list(range(500, 540)), passages)
+    before, after = plain(9, 2)
+    part = passages[3].split()[6:18]
+
+    def lies(words):
+        return found_in(index, f"{before} {' '.join(words)} {after}") == {503}
+
+    assert lies(part)
+    for p in range(12):
+        assert lies([*part[:p], "changed", *part[p + 1 :]]), p
+        assert lies([*part[:p], part[p][:2] + "x" + part[p][2:], *part[p + 1 :]]), p
+        assert lies([*part[:p], *part[p + 1 :]]), p
+        assert lies([*part[:p], "more", *part[p:]]), p
+        for q in range(p):
+            twice = ["changed" if k in (p, q) else w for k, w in enumerate(part)]
+            # two changes at the ends leave a phrase of ten words
+            assert lies(twice) == ((q, p) not in {(0, 11), (0, 1), (10, 11)}), (q, p)
+    assert not lies(part[:10])
+
+
+def test_change_at_every_position_of_a_chinese_part(items):
+    index = leaks.ItemIndex([900], [items[40][1]])
+    part = items[40][1][4:24]
+    for p in range(20):
+        assert found_in(index, f"前文{part[:p]}錯{part[p + 1 :]}後文") == {900}, p
+
+
+def test_phrase_about_other_names_is_no_passage():
+    frame = "who of them did {} so that he and {} were at it for the day"
+    names = plain(5, 1, 80)[0].split()
+    index = leaks.ItemIndex(list(range(40)), [frame.format(*names[2 * i : 2 * i + 2]) + " " + plain(50 + i, 1, 12)[0] for i in range(40)])
+    assert found_in(index, frame.format("othername", "anothername")) == set()
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "d long, t string"), spark.createDataFrame([], "i long, p string")
     assert leaks.find_leaks(docs, "d", "t", items, "i", "p").count() == 0
