@@ -14,8 +14,9 @@ words changed, left out or put in; a word with one typo is half an edit. At most
 may be at the ends of the stretch: with more there, only a shorter phrase is left.
 
 General notices are no passages: words of an item in a run that also stands in other items
-never match, and stretches found in more than ``NOTICE_SHARE`` of all documents (and at least
-``NOTICE_LEAST``) are dropped after counting over the whole corpus.
+never match, and stretches found in more different surroundings (``CONTEXT`` words on both sides)
+than ``NOTICE_SHARE`` of all documents, and than ``NOTICE_LEAST``, are dropped after counting over
+the whole corpus. Copies of one page have one surrounding and count once, however many.
 
 Scale: documents are scanned in one pass without a shuffle; only hits are aggregated. The
 items' index is broadcast in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
@@ -30,6 +31,7 @@ invisible characters are not compared; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -57,6 +59,8 @@ KEPT = 0.78
 UNIT = 1_000_000
 CHANGED, MISSPELT, FAR = 2 * UNIT, UNIT, 1000 * UNIT
 NOTICE_SHARE, NOTICE_LEAST = 0.003, 30
+#: Words on each side of a found part that tell one page from another.
+CONTEXT = 3
 #: Runs of so many words (characters) in two items are general text of the set.
 SHARED_RUN, SHARED_RUN_CHARS = 8, 14
 #: A window that stands in more items than this names no item; its neighbours do.
@@ -223,11 +227,11 @@ class ItemIndex:
             out[a : a + 50_000] = met.sum(1) >= self.least[k]
         return out
 
-    def verify(self, document: np.ndarray, spelt: list[str], k: int, shifts: np.ndarray) -> tuple[float, list[int]]:
-        """Best similarity of a stretch of item k, and the starts of all counting stretches."""
+    def verify(self, document: np.ndarray, spelt: list[str], k: int, shifts: np.ndarray) -> tuple[float, list[int], list[int]]:
+        """Best similarity of a stretch of item k, the starts of all counting stretches, and what stands around each."""
         m = len(self.tokens[k])
         size, edits, trim = self.rule[k]
-        found: dict[int, int] = {}
+        found: dict[int, tuple[int, int, int]] = {}
         shifts = np.unique(shifts)
         for group in np.split(shifts, np.flatnonzero(np.diff(shifts) > 4) + 1):
             where = np.arange(m)[:, None] + np.arange(int(group[0]) - 2, int(group[-1]) + 3)
@@ -240,18 +244,34 @@ class ItemIndex:
                     if self.tokens[k][i] > 0 and misspelt(self.spelt[k][i], spelt[where[i, s]]):
                         cost[i, s] = MISSPELT
                 here = self._stretches(cost, self.lost[k], size, edits, trim) if (cost == MISSPELT).any() else here
-            for a, changed in here.items():
-                found[a] = min(changed, found.get(a, changed))
-        return (1 - min(found.values()) // UNIT * UNIT / (CHANGED * size) if found else 0.0), sorted(found)
+            for a, (changed, diagonal, end) in here.items():
+                shift = int(group[0]) - 2 + diagonal
+                start = min(np.flatnonzero(cost[a] < CHANGED).tolist(), key=lambda s: abs(s - diagonal)) - diagonal
+                one = (changed, a + shift + start, end + shift)
+                found[a] = min(one, found.get(a, one))
+        if not found:
+            return 0.0, [], []
+        return 1 - min(found.values())[0] // UNIT * UNIT / (CHANGED * size), sorted(found), self._contexts(found, spelt)
 
     @staticmethod
-    def _stretches(cost: np.ndarray, lost: np.ndarray, size: int, edits: int, trim: int) -> dict[int, int]:
-        """{start: cost} of the stretches that stand in the text with few enough edits and enough of their weight.
+    def _contexts(found: dict[int, tuple[int, int, int]], spelt: list[str]) -> list[int]:
+        """For each start the hash of the words on both sides of the run of stretches that it stands in."""
+        starts = sorted(found)
+        out = []
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+            begin, end = found[int(run[0])][1], found[int(run[-1])][2] + 1
+            around = "\n".join([*spelt[max(begin - CONTEXT, 0) : begin], "", *spelt[end : end + CONTEXT]])
+            out += [int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True)] * len(run)
+        return out
+
+    @staticmethod
+    def _stretches(cost: np.ndarray, lost: np.ndarray, size: int, edits: int, trim: int) -> dict[int, tuple[int, int, int]]:
+        """{start: (cost, diagonal of the end, last item word)} of the stretches that stand in the text with few enough edits and enough of their weight.
 
         ``cost[i, s]`` is that of item word i on diagonal s. Each of the ``trim`` words that may be
         changed at the ends of a stretch counts as an edit; what is left begins and ends with a match.
         """
-        found: dict[int, int] = {}
+        found: dict[int, tuple[int, int, int]] = {}
         common = int(lost.min())
         ends = np.concatenate([np.full(trim, FAR), lost, np.full(trim, FAR)])
         for less in range(trim + 1):
@@ -274,12 +294,12 @@ class ItemIndex:
             beside = np.where(beside < FAR, beside, 0)
             enough = least % UNIT + beside <= (1 - KEPT) * (own + beside)
             for a in np.flatnonzero((least // UNIT * UNIT <= limit) & enough).tolist():
-                total = int(least[a]) + CHANGED * less
-                found[a] = min(total, found.get(a, total))
+                one = (int(least[a]) + CHANGED * less, int(d[a].argmin()), a + long - 1)
+                found[a] = min(one, found.get(a, one))
         return found
 
-    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[int]]]:
-        """(position of the text, item_id, similarity, counting starts) of each leak."""
+    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[int], list[int]]]:
+        """(position of the text, item_id, similarity, counting starts, their contexts) of each leak."""
         get = self.vocabulary.get
         spelt = [words(t) if t else [] for t in texts]
         ids = [np.array([get(w, 0) for w in t], dtype=np.int32) for t in spelt]
@@ -303,9 +323,9 @@ class ItemIndex:
         for d, k, shift in zip(document.tolist(), self.item[entry].tolist(), (w - begin[document] - self.at[entry]).tolist(), strict=True):
             proposals[d, k].append(shift)
         for (d, k), shifts in proposals.items():
-            score, starts = self.verify(ids[d], spelt[d], k, np.array(shifts))
+            score, starts, contexts = self.verify(ids[d], spelt[d], k, np.array(shifts))
             if starts:
-                yield d, int(self.ids[k]), score, starts
+                yield d, int(self.ids[k]), score, starts, contexts
 
 
 _built: dict[int, ItemIndex] = {}
@@ -355,13 +375,13 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
                 for a in range(0, len(batch), 500):
                     found = list(index.scan([t if isinstance(t, str) else None for t in body[a : a + 500]]))
                     if found:
-                        yield pd.DataFrame({"doc": [docs[a + d] for d, *_ in found], "item": [i for _, i, *_ in found], "similarity": [s for *_, s, _ in found], "starts": [x for *_, x in found]})
+                        yield pd.DataFrame({"doc": [docs[a + d] for d, *_ in found], "item": [i for _, i, *_ in found], "similarity": [s for _, _, s, *_ in found], "starts": [x for *_, x, _ in found], "contexts": [x for *_, x in found]})
 
-        part = rows.mapInPandas(scan, f"doc {kind}, item long, similarity double, starts array<int>")
+        part = rows.mapInPandas(scan, f"doc {kind}, item long, similarity double, starts array<int>, contexts array<long>")
         hits = part if hits is None else hits.unionByName(part)
     hits = cut(hits)
     total = documents.count()
-    counted = hits.select("doc", "item", "similarity", F.explode("starts").alias("start"))
-    common = counted.groupBy("item", "start").agg(F.countDistinct("doc").alias("n")).where(F.col("n") > max(NOTICE_LEAST, int(NOTICE_SHARE * total)))
+    counted = hits.select("doc", "item", "similarity", F.explode(F.arrays_zip("starts", "contexts")).alias("s")).select("doc", "item", "similarity", F.col("s.starts").alias("start"), F.col("s.contexts").alias("context"))
+    common = counted.groupBy("item", "start").agg(F.countDistinct("context").alias("n")).where(F.col("n") > max(NOTICE_LEAST, int(NOTICE_SHARE * total)))
     kept = counted.join(common, ["item", "start"], "left_anti")
     return kept.groupBy("doc", "item").agg(F.max("similarity").alias("similarity")).withColumnsRenamed({"doc": key, "item": item})

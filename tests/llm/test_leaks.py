@@ -109,6 +109,15 @@ def test_phrase_about_other_names_is_no_passage():
     assert found_in(index, frame.format("othername", "anothername")) == set()
 
 
+def test_copies_of_a_page_make_no_notice(spark):
+    page, other = plain(6, 2, 40)
+    passages = plain(4, 3, 20)
+    rows = [(i, f"{page} {passages[0]} {other}") for i in range(50)] + [(i, f"{page} {i} {passages[0]} {other}"[i - 50 :]) for i in range(50, 60)]
+    rows += [(99, f"{other} {passages[0]}"), (100, passages[1])] + [(i, f"{x} {passages[2]} {x[::-1]}") for i, x in enumerate(plain(7, 60, 5), 200)]
+    found = leaks.find_leaks(spark.createDataFrame(rows, "d long, t string"), "d", "t", spark.createDataFrame(list(enumerate(passages)), "i long, p string"), "i", "p").collect()
+    assert sorted((r.d, r.i) for r in found) == [(i, 0) for i in range(60)] + [(99, 0), (100, 1)]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "d long, t string"), spark.createDataFrame([], "i long, p string")
     assert leaks.find_leaks(docs, "d", "t", items, "i", "p").count() == 0
