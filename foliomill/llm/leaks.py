@@ -13,10 +13,11 @@ counts where some stretch of ``STRETCH`` words stands in the document with at mo
 words changed, left out or put in; a word with one typo is half an edit. At most ``TRIM`` edits
 may be at the ends of the stretch: with more there, only a shorter phrase is left.
 
-General notices are no passages: words of an item in a run that also stands in other items
-never match, and stretches found in more different surroundings (``CONTEXT`` words on both sides)
-than ``NOTICE_SHARE`` of all documents, and than ``NOTICE_LEAST``, are dropped after counting over
-the whole corpus. Copies of one page have one surrounding and count once, however many.
+General notices are no passages: stretches found in more different surroundings (``CONTEXT`` words
+on both sides) than ``NOTICE_SHARE`` of all documents, and than ``NOTICE_LEAST``, are dropped after
+counting over the whole corpus and the items, which are scanned like documents. Copies of one page
+have one surrounding and count once, however many. Text that several items share leads to each
+of them.
 
 Scale: documents are scanned in one pass without a shuffle; only hits are aggregated. The
 items' index is broadcast in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
@@ -37,6 +38,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -59,12 +61,10 @@ KEPT = 0.78
 UNIT = 1_000_000
 CHANGED, MISSPELT, FAR = 2 * UNIT, UNIT, 1000 * UNIT
 NOTICE_SHARE, NOTICE_LEAST = 0.003, 30
+#: Diagonals that are tried together.
+BAND = 4
 #: Words on each side of a found part that tell one page from another.
 CONTEXT = 3
-#: Runs of so many words (characters) in two items are general text of the set.
-SHARED_RUN, SHARED_RUN_CHARS = 8, 14
-#: A window that stands in more items than this names no item; its neighbours do.
-WINDOW_ITEMS = 3
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
@@ -82,6 +82,7 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", hidden(text)).casefold())
 
 
+@lru_cache(1 << 16)
 def misspelt(a: str, b: str) -> bool:
     """One letter more, less or another, or two neighbours swapped; in words of four letters or more."""
     if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
@@ -117,13 +118,13 @@ class ItemIndex:
         self.signed = (signs * np.round(self.weight * 8)[:, None]).astype(np.int16)
         self.tokens = [np.array([self.vocabulary[w] for w in t], dtype=np.int32) for t in tokens]
         self.by_char = [bool(t) and sum(len(w) == 1 and ord(w) > 0x3000 for w in t) * 2 > len(t) for t in tokens]
-        self.spelt = tokens
         self.rule = [self._rule(len(t), c) for t, c in zip(tokens, self.by_char, strict=True)]
-        self.least = np.array([size - 2 * edits for size, edits, _ in self.rule], dtype=np.int64)
-        self._hide_shared()
+        self.by_id = dict(zip(ids, self.by_char, strict=True))
+        self.of_rule = {rule: np.array([x == rule for x in self.rule]) for rule in set(self.rule)}
+        self.length = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.words = ["", *self.vocabulary]
         self._index()
         self.flat, self.begin = padded(self.tokens, -3)
-        self.lost = [np.round(100 * self.weight[np.maximum(t, 0)]).astype(np.int64) for t in self.tokens]
 
     @staticmethod
     def _rule(m: int, by_char: bool) -> tuple[int, int, int]:
@@ -132,30 +133,13 @@ class ItemIndex:
         part = min(m, size) * edits // size
         return min(m, size), part, min(trim, part)
 
-    def _hide_shared(self) -> None:
-        runs: dict[bytes, int] = {}
-        shared: set[bytes] = set()
-        size = [SHARED_RUN_CHARS if c else SHARED_RUN for c in self.by_char]
-        for k, t in enumerate(self.tokens):
-            for a in range(len(t) - size[k] + 1):
-                run = t[a : a + size[k]].tobytes()
-                if runs.setdefault(run, k) != k:
-                    shared.add(run)
-        for k, t in enumerate(self.tokens):
-            hide = np.zeros(len(t), dtype=bool)
-            for a in range(len(t) - size[k] + 1):
-                if t[a : a + size[k]].tobytes() in shared:
-                    hide[a : a + size[k]] = True
-            t[hide] = -1
-
     def _index(self) -> None:
         rows, item, at = [], [], []
         for k, t in enumerate(self.tokens):
             for a in range(len(t) - WIDTH + 1):
-                if (t[a : a + WIDTH] > 0).all():
-                    rows.append(t[a : a + WIDTH])
-                    item.append(k)
-                    at.append(a)
+                rows.append(t[a : a + WIDTH])
+                item.append(k)
+                at.append(a)
         windows = np.array(rows, dtype=np.int32).reshape(-1, WIDTH)
         prints = self.fingerprints(windows)
         item, at = np.array(item, dtype=np.int32), np.array(at, dtype=np.int32)
@@ -163,9 +147,8 @@ class ItemIndex:
         prints, item, at = prints[order], item[order], at[order]
         kept, start = np.unique(prints, return_index=True)
         ends = np.append(start[1:], len(prints))[: len(start)]
-        few = np.array([len(set(item[s:e])) <= WINDOW_ITEMS for s, e in zip(start, ends, strict=True)], dtype=bool)
-        self.prints = kept[few] if len(kept) else kept
-        self.span = np.stack([start[few], ends[few]], 1) if len(kept) else np.zeros((0, 2), dtype=np.int64)
+        self.prints = kept
+        self.span = np.stack([start, ends], 1) if len(kept) else np.zeros((0, 2), dtype=np.int64)
         self.item, self.at = item, at
         edges = np.linspace(0, 64, RADIUS + 3).astype(int)
         blocks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -214,44 +197,65 @@ class ItemIndex:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
-    def _possible(self, flat: np.ndarray, w: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        """Whether enough words stand the same around each proposal (window at ``w`` of the padded texts, entry of the index)."""
-        out = np.zeros(len(w), dtype=bool)
-        around = np.arange(-STRETCH_CHARS + WIDTH, STRETCH_CHARS)
-        for a in range(0, len(w), 50_000):
-            k = self.item[entry[a : a + 50_000]]
-            own = self.flat[(self.begin[k] + self.at[entry[a : a + 50_000]])[:, None] + around]
-            met = np.zeros(own.shape, dtype=bool)
-            for s in range(-2, 3):
-                met |= own == flat[w[a : a + 50_000, None] + around + s]
-            out[a : a + 50_000] = met.sum(1) >= self.least[k]
-        return out
+    def _aligned(self, rule: tuple[int, int, int], flat: np.ndarray, spelt: list[str], text: np.ndarray, k: np.ndarray, a: np.ndarray, band: np.ndarray) -> Iterator[tuple]:
+        """(row, cost, begin, end) of each stretch at item word ``a`` that stands in the text that begins at ``text`` of ``flat``.
 
-    def verify(self, document: np.ndarray, spelt: list[str], k: int, shifts: np.ndarray) -> tuple[float, list[int], list[int]]:
-        """Best similarity of a stretch of item k, the starts of all counting stretches, and what stands around each."""
-        m = len(self.tokens[k])
-        size, edits, trim = self.rule[k]
-        found: dict[int, tuple[int, int, int]] = {}
-        shifts = np.unique(shifts)
-        for group in np.split(shifts, np.flatnonzero(np.diff(shifts) > 4) + 1):
-            where = np.arange(m)[:, None] + np.arange(int(group[0]) - 2, int(group[-1]) + 3)
-            inside = (where >= 0) & (where < len(document))
-            there = document[np.clip(where, 0, len(document) - 1)]
-            cost = np.where(inside & (there == self.tokens[k][:, None]), 0, CHANGED + self.lost[k][:, None])
-            here = self._stretches(cost, self.lost[k], size, edits, trim)
-            if not here:
-                for i, s in zip(*np.nonzero(inside & (there == 0)), strict=True):
-                    if self.tokens[k][i] > 0 and misspelt(self.spelt[k][i], spelt[where[i, s]]):
-                        cost[i, s] = MISSPELT
-                here = self._stretches(cost, self.lost[k], size, edits, trim) if (cost == MISSPELT).any() else here
-            for a, (changed, diagonal, end) in here.items():
-                shift = int(group[0]) - 2 + diagonal
-                start = min(np.flatnonzero(cost[a] < CHANGED).tolist(), key=lambda s: abs(s - diagonal)) - diagonal
-                one = (changed, a + shift + start, end + shift)
-                found[a] = min(one, found.get(a, one))
-        if not found:
-            return 0.0, [], []
-        return 1 - min(found.values())[0] // UNIT * UNIT / (CHANGED * size), sorted(found), self._contexts(found, spelt)
+        The alignments tried are those on the diagonals of ``band`` and two beside it. Each of the
+        ``trim`` words that may be changed at the ends counts as an edit; what is left begins and ends
+        with a match.
+        """
+        size, edits, trim = rule
+        own = self.flat[(self.begin[k] + a)[:, None] + np.arange(size)]
+        where = (text + a + BAND * band)[:, None, None] + np.arange(size)[:, None] + np.arange(-2, BAND + 2)
+        there = flat[np.clip(where, 0, len(flat) - 1)]
+        same = there == own[:, :, None]
+        rows = np.flatnonzero(same.any(2).sum(1) >= size - 2 * edits)
+        own, where, there = own[rows], where[rows], there[rows]
+        lost = np.round(100 * self.weight[own]).astype(np.int64)
+        cost = np.where(same[rows], 0, CHANGED + lost[:, :, None])
+        total, *ends = self._cheapest(cost, lost, edits, trim)
+        bad = np.flatnonzero(~self._enough(total, lost, edits))
+        if len(bad):
+            for n, i, x in zip(*np.nonzero(there[bad] == 0), strict=True):
+                if misspelt(self.words[own[bad[n], i]], spelt[where[bad[n], i, x]]):
+                    cost[bad[n], i, x] = MISSPELT
+            again = self._cheapest(cost[bad], lost[bad], edits, trim)
+            for old, x in zip((total, *ends), again, strict=True):
+                old[bad] = x
+        begin, end = ends
+        for n in np.flatnonzero(self._enough(total, lost, edits)).tolist():
+            yield int(rows[n]), int(total[n]), int(where[n].flat[begin[n]]), int(where[n].flat[end[n]])
+
+    @staticmethod
+    def _enough(total: np.ndarray, lost: np.ndarray, edits: int) -> np.ndarray:
+        return (total // UNIT * UNIT <= CHANGED * edits) & (total % UNIT <= (1 - KEPT) * lost.sum(1))
+
+    @staticmethod
+    def _cheapest(cost: np.ndarray, lost: np.ndarray, edits: int, trim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cost, cell of the first match, cell of the last match) of the best alignment of each stretch; ``cost[n, i, s]`` is that of word i on diagonal s."""
+        n, size, wide = cost.shape
+        total, begin, end = np.full(n, FAR), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        least = lost.min(1)[:, None] if n else lost[:, :1]
+        for less in range(trim + 1):
+            for p in range(less + 1):
+                q = size - less + p
+                d = np.where(cost[:, p] < CHANGED, cost[:, p], FAR)
+                for j in range(p + 1, q):
+                    new = d + cost[:, j]
+                    if j == q - 1:
+                        d = np.where(cost[:, j] < CHANGED, new, FAR)
+                        break
+                    new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + CHANGED + lost[:, j, None])
+                    for _ in range(edits):
+                        new[:, 1:] = np.minimum(new[:, 1:], new[:, :-1] + CHANGED + least)
+                    d = new
+                at = d.argmin(1)
+                one = d.min(1) + CHANGED * less + lost[:, :p].sum(1) + lost[:, q:].sum(1)
+                first = (np.abs(np.arange(wide) - at[:, None]) + wide * (cost[:, p] >= CHANGED)).argmin(1)
+                better = one < total
+                total = np.where(better, one, total)
+                begin, end = np.where(better, p * wide + first, begin), np.where(better, (q - 1) * wide + at, end)
+        return total, begin, end
 
     @staticmethod
     def _contexts(found: dict[int, tuple[int, int, int]], spelt: list[str]) -> list[int]:
@@ -264,40 +268,6 @@ class ItemIndex:
             out += [int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True)] * len(run)
         return out
 
-    @staticmethod
-    def _stretches(cost: np.ndarray, lost: np.ndarray, size: int, edits: int, trim: int) -> dict[int, tuple[int, int, int]]:
-        """{start: (cost, diagonal of the end, last item word)} of the stretches that stand in the text with few enough edits and enough of their weight.
-
-        ``cost[i, s]`` is that of item word i on diagonal s. Each of the ``trim`` words that may be
-        changed at the ends of a stretch counts as an edit; what is left begins and ends with a match.
-        """
-        found: dict[int, tuple[int, int, int]] = {}
-        common = int(lost.min())
-        ends = np.concatenate([np.full(trim, FAR), lost, np.full(trim, FAR)])
-        for less in range(trim + 1):
-            long, limit = size - less, CHANGED * (edits - less)
-            first = np.arange(len(cost) - long + 1)
-            d = np.where(cost[first] < CHANGED, cost[first], FAR)
-            for j in range(1, long - 1):
-                new = d + cost[first + j]
-                new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + CHANGED + lost[first + j][:, None])
-                for _ in range(edits):
-                    new[:, 1:] = np.minimum(new[:, 1:], new[:, :-1] + CHANGED + common)
-                d = new
-            if long > 1:
-                last = cost[first + long - 1]
-                d = np.where(last < CHANGED, d + last, FAR)
-            least = d.min(1)
-            own = np.convolve(lost, np.ones(long, dtype=np.int64), "valid")
-            # the changed ends: the lighter of the words on both sides
-            beside = sum((np.minimum(ends[first + trim - 1 - x], ends[first + trim + long + x]) for x in range(less)), np.zeros(len(first), dtype=np.int64))
-            beside = np.where(beside < FAR, beside, 0)
-            enough = least % UNIT + beside <= (1 - KEPT) * (own + beside)
-            for a in np.flatnonzero((least // UNIT * UNIT <= limit) & enough).tolist():
-                one = (int(least[a]) + CHANGED * less, int(d[a].argmin()), a + long - 1)
-                found[a] = min(one, found.get(a, one))
-        return found
-
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[int], list[int]]]:
         """(position of the text, item_id, similarity, counting starts, their contexts) of each leak."""
         get = self.vocabulary.get
@@ -316,16 +286,27 @@ class ItemIndex:
         n = self.span[right, 1] - self.span[right, 0]
         entry = np.repeat(self.span[right, 0] - np.append(0, np.cumsum(n)[:-1])[: len(n)], n) + np.arange(n.sum())
         w = np.repeat(first[left], n)
-        some = self._possible(flat, w, entry)
-        w, entry = w[some], entry[some]
         document = np.searchsorted(begin, w, "right") - 1
-        proposals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for d, k, shift in zip(document.tolist(), self.item[entry].tolist(), (w - begin[document] - self.at[entry]).tolist(), strict=True):
-            proposals[d, k].append(shift)
-        for (d, k), shifts in proposals.items():
-            score, starts, contexts = self.verify(ids[d], spelt[d], k, np.array(shifts))
-            if starts:
-                yield d, int(self.ids[k]), score, starts, contexts
+        k, at = self.item[entry].astype(np.int64), self.at[entry].astype(np.int64)
+        band = (w - begin[document] - at) // BAND
+        strings = [""] * len(flat)
+        for x, t in zip(begin.tolist(), spelt, strict=True):
+            strings[x : x + len(t)] = t
+        found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = defaultdict(dict)
+        for rule in set(self.rule):
+            mine = np.flatnonzero(self.of_rule[rule][k])
+            # every stretch that counts holds a window that proposes it
+            tries = np.stack(np.broadcast_arrays(document[mine, None], k[mine, None], band[mine, None], at[mine, None] - np.arange(max(rule[0] - WIDTH, 0) + 1)), 2).reshape(-1, 4)
+            tries = np.unique(tries[(tries[:, 3] >= 0) & (tries[:, 3] + rule[0] <= self.length[tries[:, 1]])], axis=0)
+            for a in range(0, len(tries), 5000):
+                part = tries[a : a + 5000]
+                for row, cost, left_end, right_end in self._aligned(rule, flat, strings, begin[part[:, 0]], part[:, 1], part[:, 3], part[:, 2]):
+                    d, i, _, start = part[row].tolist()
+                    one = (cost, left_end - int(begin[d]), right_end - int(begin[d]))
+                    found[d, i][start] = min(one, found[d, i].get(start, one))
+        for (d, i), starts in found.items():
+            score = 1 - min(starts.values())[0] // UNIT * UNIT / (CHANGED * self.rule[i][0])
+            yield d, int(self.ids[i]), score, sorted(starts), self._contexts(starts, spelt[d])
 
 
 _built: dict[int, ItemIndex] = {}
@@ -363,7 +344,8 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
     """(key, item_id, similarity) for each document that holds a counting part of an item."""
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.lit(False).alias("own"))
+    rows = rows.unionByName(items.select(F.lit(None).cast(kind).alias("doc"), F.col(item_text).alias("text"), F.lit(True).alias("own")))
     hits = None
     for ids, texts in _item_blocks(items, item, item_text):
         shared = spark.sparkContext.broadcast((next(_numbers), ids, texts))
@@ -371,17 +353,20 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = _index_of(shared)
             for batch in batches:
-                docs, body = batch["doc"].to_numpy(), batch["text"].to_numpy()
+                docs, body, own = batch["doc"].array, batch["text"].to_numpy(), batch["own"].to_numpy()
                 for a in range(0, len(batch), 500):
                     found = list(index.scan([t if isinstance(t, str) else None for t in body[a : a + 500]]))
                     if found:
-                        yield pd.DataFrame({"doc": [docs[a + d] for d, *_ in found], "item": [i for _, i, *_ in found], "similarity": [s for _, _, s, *_ in found], "starts": [x for *_, x, _ in found], "contexts": [x for *_, x in found]})
+                        yield pd.DataFrame({"doc": docs.take([a + d for d, *_ in found]), "own": [own[a + d] for d, *_ in found], "item": [i for _, i, *_ in found], "similarity": [s for _, _, s, *_ in found], "starts": [x for *_, x, _ in found], "contexts": [x for *_, x in found], "by_char": [bool(index.by_id[i]) for _, i, *_ in found]})
 
-        part = rows.mapInPandas(scan, f"doc {kind}, item long, similarity double, starts array<int>, contexts array<long>")
+        part = rows.mapInPandas(scan, f"doc {kind}, own boolean, item long, similarity double, starts array<int>, contexts array<long>, by_char boolean")
         hits = part if hits is None else hits.unionByName(part)
     hits = cut(hits)
     total = documents.count()
-    counted = hits.select("doc", "item", "similarity", F.explode(F.arrays_zip("starts", "contexts")).alias("s")).select("doc", "item", "similarity", F.col("s.starts").alias("start"), F.col("s.contexts").alias("context"))
-    common = counted.groupBy("item", "start").agg(F.countDistinct("context").alias("n")).where(F.col("n") > max(NOTICE_LEAST, int(NOTICE_SHARE * total)))
-    kept = counted.join(common, ["item", "start"], "left_anti")
+    counted = hits.select("doc", "own", "item", "similarity", "by_char", F.explode(F.arrays_zip("starts", "contexts")).alias("s")).select("doc", "own", "item", "similarity", "by_char", F.col("s.starts").alias("start"), F.col("s.contexts").alias("context"))
+    common = counted.groupBy("item", "start").agg(F.countDistinct("context").alias("n"), F.first("by_char").alias("by_char")).where(F.col("n") > max(NOTICE_LEAST, int(NOTICE_SHARE * total)))
+    # the words of a notice belong to no passage: stretches that hold some of them are dropped too
+    size, trim = (F.when(F.col("by_char"), x).otherwise(y) for x, y in ((STRETCH_CHARS, STRETCH), (TRIM_CHARS, TRIM)))
+    held = common.select("item", F.explode(F.sequence(F.col("start") - size + trim + 1, F.col("start") + size - trim - 1)).alias("start")).distinct()
+    kept = counted.where(~F.col("own")).join(held, ["item", "start"], "left_anti")
     return kept.groupBy("doc", "item").agg(F.max("similarity").alias("similarity")).withColumnsRenamed({"doc": key, "item": item})

@@ -118,6 +118,16 @@ def test_copies_of_a_page_make_no_notice(spark):
     assert sorted((r.d, r.i) for r in found) == [(i, 0) for i in range(60)] + [(99, 0), (100, 1)]
 
 
+@pytest.mark.parametrize("block", [leaks.BLOCK_ITEMS, 1])
+def test_text_shared_by_items(spark, monkeypatch, block):
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", block)
+    source = plain(8, 1, 60)[0].split()
+    items = [(1, " ".join(source[:30])), (2, " ".join(source[:30])), (3, " ".join(source[15:45]))]
+    rows = [(7, " ".join(source[16:29])), (8, " ".join(source[2:15])), (9, " ".join(source[31:44])), (10, plain(2, 1)[0])]
+    found = leaks.find_leaks(spark.createDataFrame(rows, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, p string"), "i", "p").collect()
+    assert sorted((r.d, r.i) for r in found) == [(7, 1), (7, 2), (7, 3), (8, 1), (8, 2), (9, 3)]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "d long, t string"), spark.createDataFrame([], "i long, p string")
     assert leaks.find_leaks(docs, "d", "t", items, "i", "p").count() == 0
