@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.operators.hierarchy import descendant_counts, latest_links, resolve_forest
+from foliomill.operators.hierarchy import descendant_counts, descendants, latest_links, resolve_forest
 from foliomill.runtime import table
 
 TREES = {
@@ -38,6 +38,12 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p3_descendant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every descendant of each node and how far below it stands."""
+    parts = [descendants(df).select(F.lit(name).alias("tree"), F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance") for name, df in _trees(spark, sf_dir, True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _LINKS = """
 cl AS (SELECT 'chapter' AS tree, chapter_id AS id, list(parent_chapter_id ORDER BY indexed_at DESC NULLS LAST)[1] AS parent FROM chapter GROUP BY chapter_id
        UNION ALL
@@ -49,11 +55,13 @@ w(tree, id, root, depth, path) AS (
   SELECT l.tree, l.id, w.root, w.depth + 1, w.path || '/' || CAST(l.id AS VARCHAR) FROM l JOIN w ON l.tree = w.tree AND l.parent = w.id)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_descendant_pairs": p3_descendant_pairs}
 
 SQL = {
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT l.tree, l.id AS node_id, coalesce(w.root, -1) AS root_id, coalesce(w.depth, -1) AS depth FROM l LEFT JOIN w ON w.tree = l.tree AND w.id = l.id",
     "p3_paths": f"WITH RECURSIVE {_LINKS} SELECT l.tree, l.id AS node_id, w.path FROM l LEFT JOIN w ON w.tree = l.tree AND w.id = l.id",
     "p3_descendants": f"WITH RECURSIVE {_LINKS}, a AS (SELECT tree, CAST(unnest(string_split(path, '/')) AS BIGINT) AS node_id FROM w), n AS (SELECT tree, node_id, count(*) - 1 AS n FROM a GROUP BY ALL) "
     "SELECT l.tree, l.id AS node_id, coalesce(n.n, 0) AS n_descendants FROM l LEFT JOIN n ON n.tree = l.tree AND n.node_id = l.id",
+    "p3_descendant_pairs": f"WITH RECURSIVE {_LINKS}, a AS (SELECT tree, id AS descendant_id, depth, unnest(string_split(path, '/')) AS node, generate_subscripts(string_split(path, '/'), 1) AS place FROM w) "
+    "SELECT tree, CAST(node AS BIGINT) AS node_id, descendant_id, depth - place + 1 AS distance FROM a WHERE place <= depth",
 }

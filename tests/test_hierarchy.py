@@ -3,6 +3,7 @@ import random
 import pytest
 
 from foliomill.operators.hierarchy import descendant_counts, descendants, latest_links, resolve_forest
+from foliomill.plans.hierarchy import QUERIES
 
 
 def brute(parents):
@@ -57,3 +58,11 @@ def test_descendants(spark):
     resolved = resolve_forest(links(spark, {1: None, 2: 1, 3: 2, 4: 4}), paths=True)
     assert sorted(map(tuple, descendants(resolved).collect())) == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
     assert sorted(map(tuple, descendant_counts(resolved).collect())) == [(1, 2), (2, 1), (3, 0), (4, 0)]
+
+
+def test_descendants_of_both_trees_are_a_query(spark, tmp_path):
+    schema = "{0} long, {1} long, {2} timestamp_ntz"
+    spark.createDataFrame([(1, None, None), (2, 1, None), (3, 2, None), (4, 4, None)], schema.format("chapter_id", "parent_chapter_id", "indexed_at")).write.parquet(f"{tmp_path}/chapter.parquet")
+    spark.createDataFrame([(1, None, None), (5, 1, None)], schema.format("unit_id", "parent_unit_id", "created_at")).write.parquet(f"{tmp_path}/generated_unit.parquet")
+    found = QUERIES["p3_descendant_pairs"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.select("tree", "node_id", "descendant_id", "distance").collect())) == [("chapter", 1, 2, 1), ("chapter", 1, 3, 2), ("chapter", 2, 3, 1), ("generated_unit", 1, 5, 1)]
