@@ -23,13 +23,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomill.functions.verdicts import LABELS, label_index
 from foliomill.runtime import cut, release, small_or_shuffled
 
-#: The four verdicts, in the order that decides ties (fixed values).
-LABELS = ("CORROBORATES", "CONTRADICTS", "SUPERSEDED", "UNRELATED")
-#: How a verdict may begin, letters only and in upper case (fixed values).
-SPELLINGS = (("CORROBORAT", 0), ("CONTRADICT", 1), ("SUPERSED", 2), ("UNRELATED", 3), ("NOTRELATED", 3))
-
 #: Quantile bands of confidence; one more is for missing values.
 BANDS = 5
 #: Annotators and outcomes up to this many rows are broadcast, more are shuffled.
@@ -47,14 +43,6 @@ def digamma(x: Column) -> Column:
     return series
 
 
-def label_index(verdict: Column) -> Column:
-    letters = F.regexp_replace(F.upper(verdict), "[^A-Z]", "")
-    out = F.lit(None).cast("int")
-    for start, index in SPELLINGS:
-        out = F.when(letters.startswith(start), index).otherwise(out)
-    return out
-
-
 def counted_votes(votes: DataFrame, item: str, annotator: str, label: str, confidence: str, version: str) -> DataFrame:
     """(item, who, label, confidence) of the counting votes."""
     rows = votes.where(F.col(item).isNotNull()).select(

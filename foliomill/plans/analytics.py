@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as X
+from foliomill.functions.verdicts import label_index
 from foliomill.operators import graph as G
 from foliomill.plans.common import BOOKS, CHAPTERS, CONCEPTS, books, chapters, concepts
 from foliomill.runtime import table
@@ -44,10 +45,28 @@ def a17_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("alignment_edge_id", "n_samples", "n_for", "n_against", verdict.alias("verdict"))
 
 
+def a17_majority_of_spelt_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a17_majority_vote, with verdicts told by ``label_index``; values that are no vote are no samples."""
+    latest = table(spark, sf_dir, "alignment_vote").where("alignment_edge_id is not null").groupBy("alignment_edge_id", "sample").agg(F.max(F.struct("created_at", "verdict")).alias("row"))
+    votes = latest.select("alignment_edge_id", label_index(F.col("row.verdict")).alias("label")).where("label is not null")
+    counts = votes.groupBy("alignment_edge_id").agg(F.count("*").alias("n_samples"), F.count_if(F.col("label") == 0).alias("n_for"), F.count_if(F.col("label").isin(1, 2)).alias("n_against"))
+    verdict = F.when(F.col("n_for") * 2 > F.col("n_samples"), "CORROBORATES").when(F.col("n_against") * 2 > F.col("n_samples"), "CONTRADICTS").otherwise("UNRELATED")
+    return counts.select("alignment_edge_id", "n_samples", "n_for", "n_against", verdict.alias("verdict"))
+
+
 def a18_edge_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the majority means for each stored edge: keep, update or delete."""
+    return _edge_actions(spark, sf_dir, a17_majority_vote(spark, sf_dir))
+
+
+def a18_actions_of_spelt_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a18_edge_actions, after a17_majority_of_spelt_votes."""
+    return _edge_actions(spark, sf_dir, a17_majority_of_spelt_votes(spark, sf_dir))
+
+
+def _edge_actions(spark: SparkSession, sf_dir: str, majority: DataFrame) -> DataFrame:
     edges = table(spark, sf_dir, "alignment_edge").select("alignment_edge_id", "relation_type").distinct()
-    joined = edges.join(a17_majority_vote(spark, sf_dir).select("alignment_edge_id", "verdict"), "alignment_edge_id", "left")
+    joined = edges.join(majority.select("alignment_edge_id", "verdict"), "alignment_edge_id", "left")
     action = F.when(F.col("verdict").isNull() | (F.col("verdict") == F.col("relation_type")), "keep").when(F.col("verdict") == "UNRELATED", "delete").otherwise("update")
     return joined.groupBy(action.alias("action"), "relation_type").agg(F.count("*").alias("n"))
 
@@ -184,12 +203,16 @@ _GR = "gr AS (SELECT concept_id_a AS src, concept_id_b AS dst FROM concept_match
 _MV = """vt AS (SELECT alignment_edge_id, sample, CASE WHEN verdict IN ('CONTRADICTS', 'SUPERSEDED') THEN 'CONTRADICTS' ELSE verdict END AS v FROM alignment_vote WHERE alignment_edge_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY alignment_edge_id, sample ORDER BY created_at DESC NULLS LAST, verdict DESC NULLS LAST) = 1),
 mc AS (SELECT alignment_edge_id, count(*) AS n_samples, count(*) FILTER (v = 'CORROBORATES') AS n_for, count(*) FILTER (v = 'CONTRADICTS') AS n_against FROM vt GROUP BY 1),
 mv AS (SELECT *, CASE WHEN n_for * 2 > n_samples THEN 'CORROBORATES' WHEN n_against * 2 > n_samples THEN 'CONTRADICTS' ELSE 'UNRELATED' END AS verdict FROM mc)"""
+_SV = """st AS (SELECT alignment_edge_id, regexp_replace(upper(verdict), '[^A-Z]', '', 'g') AS u FROM alignment_vote WHERE alignment_edge_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY alignment_edge_id, sample ORDER BY created_at DESC NULLS LAST, verdict DESC NULLS LAST) = 1),
+sc AS (SELECT alignment_edge_id, count(*) AS n_samples, count(*) FILTER (u LIKE 'CORROBORAT%') AS n_for, count(*) FILTER (u LIKE 'CONTRADICT%' OR u LIKE 'SUPERSED%') AS n_against FROM st
+  WHERE u LIKE 'CORROBORAT%' OR u LIKE 'CONTRADICT%' OR u LIKE 'SUPERSED%' OR u LIKE 'UNRELATED%' OR u LIKE 'NOTRELATED%' GROUP BY 1),
+sv AS (SELECT *, CASE WHEN n_for * 2 > n_samples THEN 'CORROBORATES' WHEN n_against * 2 > n_samples THEN 'CONTRADICTS' ELSE 'UNRELATED' END AS verdict FROM sc)"""
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
 QUERIES = {
     f.__name__: f
     for f in (
-        a11_authors_by_book, a12_representatives, a13_status_counts, a16_chapter_moves, a17_majority_vote, a18_edge_actions, i_pending_extraction, i_orphan_links, w01_first_chapters,
+        a11_authors_by_book, a12_representatives, a13_status_counts, a16_chapter_moves, a17_majority_vote, a17_majority_of_spelt_votes, a18_edge_actions, a18_actions_of_spelt_votes, i_pending_extraction, i_orphan_links, w01_first_chapters,
         g03_neighborhood, g33_top_authors, g41_degree_histogram, r20_name_lookup, r27_orphan_duplicates, r28_acronym_pairs, d_domain_rollup, u_unit_metadata,
         t_title_tokens, t_acronyms, t_slugs, t_first_sentences,
     )
@@ -210,6 +233,9 @@ g AS (SELECT book_id, count(*) AS n_versions, count(*) FILTER (more IS NOT NULL
     "a17_majority_vote": f"WITH {_MV} SELECT * FROM mv",
     "a18_edge_actions": f"""WITH {_MV}, e AS (SELECT DISTINCT alignment_edge_id, relation_type FROM alignment_edge)
 SELECT CASE WHEN verdict IS NULL OR verdict = relation_type THEN 'keep' WHEN verdict = 'UNRELATED' THEN 'delete' ELSE 'update' END AS action, relation_type, count(*) AS n FROM e LEFT JOIN mv USING (alignment_edge_id) GROUP BY 1, 2""",
+    "a17_majority_of_spelt_votes": f"WITH {_SV} SELECT * FROM sv",
+    "a18_actions_of_spelt_votes": f"""WITH {_SV}, e AS (SELECT DISTINCT alignment_edge_id, relation_type FROM alignment_edge)
+SELECT CASE WHEN verdict IS NULL OR verdict = relation_type THEN 'keep' WHEN verdict = 'UNRELATED' THEN 'delete' ELSE 'update' END AS action, relation_type, count(*) AS n FROM e LEFT JOIN sv USING (alignment_edge_id) GROUP BY 1, 2""",
     "i_pending_extraction": f"WITH {CHAPTERS} SELECT book_id, count(*) FILTER (extraction_attempted_at IS NULL OR extraction_attempted_at < indexed_at) AS n_pending, count(*) AS n_chapters FROM ch GROUP BY 1",
     "i_orphan_links": " UNION ALL ".join(
         _orphans(*x)

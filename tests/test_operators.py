@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import deid, messages, text
 from foliomill.operators import graph, retrieval
+from foliomill.plans import analytics
 from foliomill.sources.markdown import sections
 from foliomill.streaming.events import drain, hourly_events
 
@@ -124,3 +125,14 @@ def test_stream_windows(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "events.parquet"))
     got = drain(hourly_events(stream)).collect()
     assert [(r.event_type, r.n, r.total) for r in got if r.event_type == "a"] == [("a", 2, 3.0)]
+
+
+def test_spelt_votes(spark, tmp_path):
+    votes = ["Corroborates", "CORROBORATES.", "corroborated", "contradiction", "not related", "no idea", None]
+    rows = [(1, k, v) for k, v in enumerate(votes)] + [(2, 0, "?"), (3, 0, "superseded"), (3, 1, "Contradicts!"), (3, 2, "UNRELATED")]
+    spark.createDataFrame(rows, "alignment_edge_id long, sample int, verdict string").selectExpr("*", "timestamp_ntz'2025-01-01' AS created_at").write.parquet(f"{tmp_path}/alignment_vote.parquet")
+    spark.createDataFrame([(1, "CORROBORATES"), (2, "CONTRADICTS"), (3, "CORROBORATES")], "alignment_edge_id long, relation_type string").write.parquet(f"{tmp_path}/alignment_edge.parquet")
+    found = analytics.a17_majority_of_spelt_votes(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(1, 5, 3, 1, "CORROBORATES"), (3, 3, 0, 2, "CONTRADICTS")]
+    actions = analytics.a18_actions_of_spelt_votes(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, actions)) == [("keep", "CONTRADICTS", 1), ("keep", "CORROBORATES", 1), ("update", "CORROBORATES", 1)]
