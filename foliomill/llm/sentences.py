@@ -10,30 +10,36 @@ Two passes over each text, both of which keep its length:
 
 Offsets are sums of the pieces' lengths; white space is trimmed from both ends; ``restore``
 gives the text of a piece back. Everything runs row by row in the JVM and nothing is shuffled.
-Sums of lengths are taken over groups of ``GROUP`` pieces, so very long texts don't cost the
-square of their sentences, and every loop of the expressions is possessive, so no text makes
-them backtrack.
+The pieces of a text are exploded in three steps (runs of ``GROUP`` x ``GROUP`` pieces, then of
+``GROUP``, then single ones); each row carries its own run and where it begins, never the whole
+text, so rows and time grow with the length of a text. Every loop of the expressions is possessive,
+so no text makes them backtrack; in texts above ``LONG`` characters openers that nothing closes
+are marked beforehand, with the same result, so that no paragraph is searched once per opener.
 
 Rules beyond the obvious: an end mark before a lower-case word ends nothing; a quotation
 opened at the start of a sentence goes on with its reporting clause; one opened within a
 sentence ends it if it ends with an end mark and no lower-case word follows; a bracket that
 is a whole sentence ends behind the bracket; Thai sentences end at spaces between Thai words.
-Quotations and brackets are paired within a paragraph, up to ``PAIR`` characters a line.
+Quotations and brackets are paired within a paragraph, whatever their length.
 
 Defined results: null, empty and blank texts give no rows; offsets count Unicode code points;
-U+E001 in a text itself is read as a masked dot; repeated rows are split each on its own;
+U+E001 in a text itself is read as a masked dot (U+E002 and U+E003 as openers that nothing closes); repeated rows are split each on its own;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GROUP = 64
-PAIR = 1000
+LONG = 1 << 16
 
 DOT = "\ue001"
+#: Placeholders for openers that nothing closes: those that may follow an end mark without a space, and the others.
+OPEN, OPEN_OTHER = "\ue002", "\ue003"
 
 #: Abbreviations that end no sentence, whatever follows; "_" stands for a space or none (fixed values).
 ALWAYS = (
@@ -94,23 +100,36 @@ _HARD = rf"{_H}*+(?:\R|$|#{{1,6}} |{_FENCE}|[|]|[-*+•]{_H}|1[.){DOT}]{_H})"
 _SOFT = rf"\R(?!{_HARD})"
 
 
+#: Openers with what closes them.
+_QUOTES = (('"', '"'), ("“", "”"), ("„", "“”"), ("«", "»"), ("「", "」"), ("『", "』"), ("《", "》"))
+_BRACKETS = (("(", ")"), ("[", "]"), ("（", "）"))
+
+
+def _until(closing: str) -> str:
+    """All up to a closing mark or the end of the paragraph."""
+    inner = rf"[^{re.escape(closing)}\n\r\x{{85}}\x{{2028}}\x{{2029}}]*+"
+    return rf"{inner}(?:\R(?!{_H}*+\R){inner})*+"
+
+
 def _span(opening: str, closing: str) -> str:
-    inner = rf"[^{closing}\n\r\x{{85}}\x{{2028}}\x{{2029}}]{{0,{PAIR}}}+"
-    return rf"{opening}{inner}(?:\R(?!{_H}*+\R){inner})*+[{closing}]"
+    return rf"{re.escape(opening)}{_until(closing)}[{re.escape(closing)}]"
 
 
-_QUOTE = "(?:" + "|".join(_span(a, b) for a, b in (('"', '"'), ("“", "”"), ("„", "“”"), ("«", "»"), ("「", "」"), ("『", "』"), ("《", "》"))) + ")"
-_BRACKET = "(?:" + "|".join(_span(a, b) for a, b in ((r"\(", ")"), (r"\[", r"\]"), ("（", "）"))) + ")"
+_QUOTE = "(?:" + "|".join(_span(*x) for x in _QUOTES) + ")"
+_BRACKET = "(?:" + "|".join(_span(*x) for x in _BRACKETS) + ")"
 _ENDED = rf"(?<=[{_STOP}{_WIDE}][)\]）”“»」』\"])"
 
 #: What may follow an end mark that ends a sentence.
 _NEXT = rf"{_WS}(?!{_WS}*+\p{{Ll}}(?!\p{{Lu}}))|$"
 #: Where sentences are joined without a space.
 _JOIN = (
-    rf"(?<=[\p{{Ll}}\p{{N}})\]”\"»][{_STOP}]{{1,3}})(?=\p{{Lu}}[\p{{Ll}} ]|[“\"«(¿¡]\p{{Lu}})"
+    rf"(?<=[\p{{Ll}}\p{{N}})\]”\"»][{_STOP}]{{1,3}})(?=\p{{Lu}}[\p{{Ll}} ]|[“\"«(¿¡{OPEN}]\p{{Lu}})"
     rf"|(?<={_JOINED}{{2}}[{_STOP}])(?={_JOINED})|(?<=[{_HAN}]…{{1,4}})"
 )
-_QUOTE_NEXT = rf"{_WS}(?!{_WS}*+\p{{Ll}}(?!\p{{Lu}}))|$|\p{{Lu}}\p{{Ll}}|(?<=[:：][“「『\"][^“”「」『』\"]{{1,300}}[”」』\"])[{_HAN}]"
+#: What may follow a quotation that ends a sentence; Chinese and Japanese text only if a colon introduced the quotation.
+_QUOTE_NEXT = rf"{_WS}(?!{_WS}*+\p{{Ll}}(?!\p{{Lu}}))|$|\p{{Lu}}\p{{Ll}}"
+_TOLD = "(?<=[:：])"
+_ENDS = rf"(?:{_TOLD}{_QUOTE}{_ENDED}(?:{_QUOTE_NEXT}|[{_HAN}])|{_QUOTE}{_ENDED}(?:{_QUOTE_NEXT}))"
 
 
 def _plain() -> list[str]:
@@ -131,9 +150,10 @@ def _body(soft: bool) -> str:
         rf"[{_STOP}]++[{_CLOSERS}]*+(?!{_NEXT}|{_JOIN})",
         *([_SOFT] if soft else []),
         rf"{_THAI}++(?!(?:{_H}|{_SOFT})++(?![ๆฯ]){_THAI})",
-        rf"{_QUOTE}(?!{_ENDED}(?:{_QUOTE_NEXT}))",
+        rf"{_TOLD}{_QUOTE}(?!{_ENDED}(?:{_QUOTE_NEXT}|[{_HAN}]))",
+        rf"(?<![:：]){_QUOTE}(?!{_ENDED}(?:{_QUOTE_NEXT}))",
         _BRACKET,
-        rf"(?!{_QUOTE}{_ENDED}(?:{_QUOTE_NEXT}))[\"“„«「『《(\[（]",
+        rf"(?!{_ENDS})[\"“„«「『《(\[（]",
         rf"[;\x{{37E}}](?<!{_GREEK}.)",
     ]
     return "(?:" + "|".join(parts) + ")*+"
@@ -157,18 +177,45 @@ PIECE = (
 BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-def _with_starts(df: DataFrame, parts: str, keep: list[str]) -> DataFrame:
-    """One row per element of the array ``parts`` with its offset ``at``, the sum of the lengths before it."""
-    sized = df.withColumn("_lengths", F.transform(parts, F.length))
-    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size("_lengths") - 1) / GROUP)), lambda g: F.aggregate(F.slice("_lengths", g.cast("int") * GROUP + 1, GROUP), F.lit(0), lambda a, x: a + x))
-    sized = sized.withColumn("_sums", sums)
-    before = F.transform(F.sequence(F.lit(0), F.size("_sums") - 1), lambda g: F.aggregate(F.slice("_sums", F.lit(1), g), F.lit(0), lambda a, x: a + x))
-    sized = sized.withColumn("_before", before)
-    # outer: the inner generator would have a filter on the array's size inferred, which runs the expressions again
-    rows = sized.select(*keep, "_lengths", "_before", F.posexplode_outer(parts).alias("_i", "part"))
-    group = F.floor(F.col("_i") / GROUP).cast("int")
-    inner = F.aggregate(F.slice("_lengths", group * GROUP + 1, F.col("_i") - group * GROUP), F.lit(0), lambda a, x: a + x)
-    return rows.select(*keep, (F.get("_before", group) + inner).alias("at"), "part")
+def _runs(df: DataFrame, size: int) -> DataFrame:
+    """(_key, at, parts) with at most ``size`` parts a row; ``at`` is the offset of the first one."""
+    last = F.floor((F.size("parts") - 1) / size).cast("int")
+    # the groups' arrays stand in a column of their own: an expression used twice would be run twice
+    groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.slice("parts", g * size + 1, F.lit(size)))
+    cut = df.select("_key", "at", groups.alias("groups"))
+    sums = F.transform("groups", lambda g: F.aggregate(g, F.lit(0), lambda n, x: n + F.length(x)))
+    summed = cut.select("_key", "at", "groups", sums.alias("sums"))
+    before = F.transform("sums", lambda _, i: F.aggregate(F.slice("sums", F.lit(1), i), F.lit(0), lambda n, x: n + x))
+    # outer: an inner generator would have a filter on the array's size inferred, which runs the expressions again
+    rows = summed.select("_key", "at", F.explode_outer(F.arrays_zip(F.col("groups").alias("parts"), before.alias("before"))).alias("run"))
+    return rows.select("_key", (F.col("at") + F.col("run.before")).alias("at"), F.col("run.parts").alias("parts"))
+
+
+def _with_starts(df: DataFrame) -> DataFrame:
+    """One row (_key, at, part) per element of the array ``parts``; ``at`` is the sum of the lengths before it."""
+    runs = _runs(_runs(df.withColumn("at", F.lit(0)), GROUP * GROUP), GROUP)
+    before = F.transform("parts", lambda _, i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)))
+    rows = runs.select("_key", "at", F.explode_outer(F.arrays_zip("parts", before.alias("before"))).alias("one"))
+    return rows.select("_key", (F.col("at") + F.col("one.before")).alias("at"), F.col("one.parts").alias("part"))
+
+
+def _alone(opening: str, closing: str):
+    """Marks the openers of a part that begins with one and ends without what closes it."""
+    mark = OPEN if opening in "“«(" else OPEN_OTHER
+    return lambda part: F.when(part.startswith(opening) & ~F.substring(part, -1, 1).isin(*closing), F.translate(part, opening, mark)).otherwise(part)
+
+
+def _marked(text: Column) -> Column:
+    """The text with placeholders for openers that nothing closes in their paragraph; of the same length.
+
+    From the first such opener to the end of its paragraph all of its kind are such.
+    """
+    for opening, closing in (*_QUOTES[1:], *_BRACKETS):
+        other = "„" if opening == "“" else ""
+        kinds = [rf"[^{re.escape(opening + other)}]++", *([rf"„{_until('“”')}[“”]?+"] if other else []), rf"{re.escape(opening)}{_until(closing)}[{re.escape(closing)}]?+"]
+        parts = F.regexp_extract_all(text, F.lit("(?:" + "|".join(kinds) + ")"), F.lit(0))
+        text = F.array_join(F.transform(parts, _alone(opening, closing)), "")
+    return text
 
 
 def masked(text: Column) -> Column:
@@ -183,9 +230,10 @@ def restore(text: Column) -> Column:
 
 def split_sentences(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sent_start, sent_end) of each sentence of each text."""
-    pieces = F.regexp_extract_all(masked(F.col(text)), F.lit(PIECE), F.lit(0))
-    rows = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_key"), pieces.alias("_pieces"))
-    sentences = _with_starts(rows, "_pieces", ["_key"])
+    body = F.when(F.length(text) > LONG, _marked(F.col(text))).otherwise(F.col(text))
+    pieces = F.regexp_extract_all(masked(body), F.lit(PIECE), F.lit(0))
+    rows = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_key"), pieces.alias("parts"))
+    sentences = _with_starts(rows)
     # filtered by the piece itself: a filter on the offsets would be pushed below the explode and split the texts twice
     sentences = sentences.where(F.ltrim("part", F.lit(BLANK)) != "")
     left = F.ltrim("part", F.lit(BLANK))

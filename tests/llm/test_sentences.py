@@ -79,3 +79,28 @@ def test_mask_keeps_length(spark):
     text = "Dr. Bell saw v1.2 of a.b at x.y/z?q=1, cf. p. 3."
     row = spark.createDataFrame([(text,)], "t string").select(masked(F.col("t")).alias("m"), restore(masked(F.col("t"))).alias("r")).first()
     assert len(row.m) == len(text) and row.m.count(".") == 1 and row.r.replace("?", ".") == text.replace("?", ".")
+
+
+@pytest.mark.parametrize("size", [15, 150, 1500, 20000])
+def test_quotations_of_any_length(spark, size):
+    inner = "It is so. " * size
+    texts = [f'He said, "{inner}" and left. Then more.', f"It [{inner}] came. Then more.", f"报告说：“{'先重建。' * size}”管理员走了。谁？"]
+    assert [len(x) for x in split(spark, texts)] == [2, 2, 3]
+
+
+def test_long_texts_grow_in_proportion(spark):
+    one = "This is sentence number one, of many. "
+    df = spark.createDataFrame([(1, one * 150_000)], "doc long, body string")
+    found = split_sentences(df, "doc", "body").agg(F.count("*"), F.min(F.col("sent_end") - F.col("sent_start")), F.max("sent_end"), F.sum(F.col("sent_start") % len(one))).first()
+    assert tuple(found) == (150_000, len(one) - 1, len(one) * 150_000 - 1, 0)
+
+
+@pytest.mark.parametrize("opener", "“„«「『《([（")
+def test_openers_that_nothing_closes(spark, opener):
+    short = f"It {opener}came late. Then it {opener}went. "
+    paragraph = "Here (it ended. Or not) and “so. On” it «was. So» on. A „second. One“ went. "
+    texts = [paragraph + short, paragraph * 2000 + short * 20_000 + "\n\n" + paragraph + short]
+    few, many = split(spark, texts)
+    assert many[-len(few) :] == few
+    assert few[-2:] == [f"It {opener}came late.", f"Then it {opener}went."]
+    assert len(many) == (len(few) - 2) * 2001 + 2 * 20_001
