@@ -6,8 +6,11 @@ band of the confidence given, bands being quantiles of that annotator's own conf
 habit (swapping, merging or defaulting labels) and the use of confidence are learned together.
 Coordinate ascent: the posterior of an item is the softmax of summed expected log
 probabilities; the rows are updated with digamma of expected counts. Both are group-bys. The
-class prior takes part as one more vote of a pseudo annotator on each item, so one join and
-two aggregations make a round, and no group is ever collected into one task.
+class prior takes part as one more vote of a pseudo annotator on each item. The votes are kept
+partitioned and sorted by item, so in a round only the annotators' counts travel: the posterior of
+an item is a running window over its own votes (at most one an annotator), and the counts are
+summed before they are shuffled. ``STEPS`` rounds make one job and end in a written table.
+A fit that does not settle raises an error.
 
 Defined results: the latest row of (item, annotator) counts (ties: the greatest remaining
 values); labels that are none of ``LABELS`` after spelling is normalised are no vote; a null
@@ -31,6 +34,8 @@ BANDS = 5
 #: Annotators and outcomes up to this many rows are broadcast, more are shuffled.
 MAX_BROADCAST_ROWS = 100_000
 NAMELESS = -(1 << 62)
+#: Rounds between two written tables (and two looks at how far the counts moved).
+STEPS = 3
 PRIOR_CLASS, PRIOR_RIGHT, PRIOR_WRONG = 1.0, 1.5, 0.5
 
 
@@ -73,42 +78,55 @@ class Consensus:
     rounds: int
 
 
-def fit(votes: DataFrame, max_rounds: int = 40, tolerance: float = 1e-4) -> Consensus:
-    """Variational fit of ``with_outcomes`` rows; stops when expected counts move by less than ``tolerance`` of all votes."""
+def fit(votes: DataFrame, max_rounds: int = 600, tolerance: float = 1e-4) -> Consensus:
+    """Variational fit of ``with_outcomes`` rows; stops when a round moves expected counts by less than ``tolerance`` of all votes.
+
+    Raises if that does not happen within ``max_rounds``.
+    """
     spark = votes.sparkSession
     classes = range(len(LABELS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     votes = cut(votes)
     prior_votes = votes.select("item").distinct().select("item", F.lit(-1).cast("long").alias("who"), F.lit(None).cast("int").alias("label"), F.lit(-1).alias("outcome"))
-    rows = votes.unionByName(prior_votes).repartition(parts, "item").persist()
-
-    first = [F.sum(F.when(F.col("label") == k, 1.0).otherwise(0.0)) + 0.01 for k in classes]
-    posteriors = rows.groupBy("item").agg(*[x.alias(f"q{k}") for k, x in enumerate(first)])
-    total = sum((F.col(f"q{k}") for k in classes), F.lit(0.0))
-    posteriors = posteriors.select("item", *[(F.col(f"q{k}") / total).alias(f"q{k}") for k in classes])
+    rows = votes.unionByName(prior_votes).repartition(parts, "item").sortWithinPartitions("item").persist()
 
-    counts = cut(_counts(rows, posteriors))
+    first = [F.sum(F.when(F.col("label") == k, 1.0).otherwise(0.0)).over(Window.partitionBy("item")) + 0.01 for k in classes]
+    counts = cut(_counts(_shares(rows.select("who", "outcome", *[x.alias(f"q{k}") for k, x in enumerate(first)]))))
     small = counts.count() <= MAX_BROADCAST_ROWS
-    done = 0
-    for done in range(1, max_rounds + 1):
-        posteriors = _posteriors(rows, _expected_logs(counts), small)
-        new = cut(_counts(rows, posteriors))
-        moved = new.join(counts.select("who", "outcome", *[F.col(f"n{k}").alias(f"o{k}") for k in classes]), ["who", "outcome"]).agg(
-            F.sum(sum((F.abs(F.col(f"n{k}") - F.col(f"o{k}")) for k in classes), F.lit(0.0))).alias("moved"),
-            F.sum(sum((F.col(f"n{k}") for k in classes), F.lit(0.0))).alias("all"),
-        ).first()
+    for done in range(STEPS, max_rounds + STEPS, STEPS):
+        new = counts
+        for _ in range(STEPS):
+            new = _counts(_row_posteriors(rows, _expected_logs(new), small))
+        new = cut(new)
+        both = new.unionByName(counts.select("who", "outcome", *[(-F.col(f"n{k}")).alias(f"n{k}") for k in classes]))
+        change = both.groupBy("who", "outcome").agg(*[F.abs(F.sum(f"n{k}")).alias(f"d{k}") for k in classes], F.sum(sum((F.greatest(f"n{k}", F.lit(0.0)) for k in classes), F.lit(0.0))).alias("n"))
+        moved = change.agg(F.sum(sum((F.col(f"d{k}") for k in classes), F.lit(0.0))).alias("moved"), F.sum("n").alias("all")).first()
         release(counts)
         counts = new
-        if not moved["all"] or moved["moved"] < tolerance * moved["all"]:
-            break
-    posteriors = cut(_posteriors(rows, _expected_logs(counts), small))
-    rows.unpersist()
-    return Consensus(posteriors, votes, counts, done)
+        if not moved["all"] or moved["moved"] < tolerance * STEPS * moved["all"]:
+            posteriors = cut(_posteriors(rows, _expected_logs(counts), small))
+            rows.unpersist()
+            return Consensus(posteriors, votes, counts, done)
+    raise RuntimeError(f"the fit did not settle in {max_rounds} rounds")
+
+
+def _shares(df: DataFrame) -> DataFrame:
+    """Divides q0, q1, ... by their sum."""
+    names = [f"q{k}" for k in range(len(LABELS))]
+    total = sum((F.col(n) for n in names), F.lit(0.0))
+    return df.withColumn("total", total).select(*[c for c in df.columns if c not in names], *[(F.col(n) / F.col("total")).alias(n) for n in names])
+
 
+def _softmax(df: DataFrame) -> DataFrame:
+    """Turns sums of logs s0, s1, ... into shares q0, q1, ..."""
+    names = [f"s{k}" for k in range(len(LABELS))]
+    keep = [c for c in df.columns if c not in names]
+    top = df.withColumn("top", F.greatest(*names))
+    return _shares(top.select(*keep, *[F.exp(F.col(n) - F.col("top")).alias(f"q{k}") for k, n in enumerate(names)]))
 
-def _counts(rows: DataFrame, posteriors: DataFrame) -> DataFrame:
-    joined = rows.join(posteriors, "item")
-    return joined.groupBy("who", "outcome").agg(*[F.sum(f"q{k}").alias(f"n{k}") for k in range(len(LABELS))])
+
+def _counts(row_posteriors: DataFrame) -> DataFrame:
+    return row_posteriors.groupBy("who", "outcome").agg(*[F.sum(f"q{k}").alias(f"n{k}") for k in range(len(LABELS))])
 
 
 def _expected_logs(counts: DataFrame) -> DataFrame:
@@ -133,14 +151,19 @@ def _expected_logs(counts: DataFrame) -> DataFrame:
     return joined.select("who", "outcome", *logs)
 
 
+def _scored(rows: DataFrame, logs: DataFrame, small: bool) -> DataFrame:
+    return rows.join(F.broadcast(logs) if small else logs, ["who", "outcome"])
+
+
+def _row_posteriors(rows: DataFrame, logs: DataFrame, small: bool) -> DataFrame:
+    """(who, outcome, q0, q1, ...) of each vote: the posterior of its item."""
+    of_item = Window.partitionBy("item")
+    sums = _scored(rows, logs, small).select("who", "outcome", *[F.sum(f"l{k}").over(of_item).alias(f"s{k}") for k in range(len(LABELS))])
+    return _softmax(sums)
+
+
 def _posteriors(rows: DataFrame, logs: DataFrame, small: bool) -> DataFrame:
-    classes = range(len(LABELS))
-    scored = rows.join(F.broadcast(logs) if small else logs, ["who", "outcome"])
-    sums = scored.groupBy("item").agg(*[F.sum(f"l{k}").alias(f"s{k}") for k in classes])
-    top = F.greatest(*[F.col(f"s{k}") for k in classes])
-    sums = sums.select("item", *[F.exp(F.col(f"s{k}") - top).alias(f"e{k}") for k in classes])
-    total = sum((F.col(f"e{k}") for k in classes), F.lit(0.0))
-    return sums.select("item", *[(F.col(f"e{k}") / total).alias(f"q{k}") for k in classes])
+    return _softmax(_scored(rows, logs, small).groupBy("item").agg(*[F.sum(f"l{k}").alias(f"s{k}") for k in range(len(LABELS))]))
 
 
 def verdicts(result: Consensus) -> DataFrame:

@@ -7,8 +7,10 @@ and every other vertex holds that smallest one (Rastogi et al., "Finding connect
 in MapReduce in logarithmic rounds").
 
 A cluster is never one value: C is kept as rows (v, u), so a group of any size, or a vertex
-with a third of all pairs, is spread over tasks. The minimum is a partial aggregation, the
-join back on v can be split by AQE, and the union is deduplicated on the whole row (v, u).
+with a third of all pairs, is spread over tasks. The minimum is a partial aggregation that is
+written as a table before it is joined back: only a join of two plain shuffles, without an
+aggregate between shuffle and sort, is split by AQE where one vertex holds most rows. The union
+is deduplicated on the whole row (v, u).
 
 Defined results: pairs with a null, or of a vertex with itself, link nothing; either order and
 repeated pairs count once; an empty input gives an empty result; other columns are ignored.
@@ -30,16 +32,24 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 100) -> Data
     cluster = cut(both.select("x.v", "x.u").distinct())
     seen = None
     for _ in range(max_rounds):
-        least = cluster.groupBy("v").agg(F.min("u").alias("m"))
-        sent = cluster.join(least, "v")
+        least = cut(cluster.groupBy("v").agg(F.min("u").alias("m")))
+        sent = with_least(cluster, least)
         received = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
         before, cluster = cluster, cut(received.select("x.v", "x.u").distinct())
-        release(before)
         now = cluster.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
+        release(before)
         if now == seen:
-            group = cluster.groupBy("v").agg(F.min("u").alias("g"))
-            ends = edges.join(group.select(F.col("v").alias("a"), F.col("g").alias("ga")), "a").join(group.select(F.col("v").alias("b"), F.col("g").alias("gb")), "b")
+            # nothing changed: the minima of the round before are those of the end
+            ends = edges.join(least.select(F.col("v").alias("a"), F.col("m").alias("ga")), "a").join(least.select(F.col("v").alias("b"), F.col("m").alias("gb")), "b")
             if ends.where("ga <> gb").isEmpty():
-                return group.select(F.col("v").alias("vertex"), F.col("g").alias("group"))
+                release(cluster)
+                release(edges)
+                return least.select(F.col("v").alias("vertex"), F.col("m").alias("group"))
+        release(least)
         seen = now
     raise RuntimeError(f"hash-to-min did not settle in {max_rounds} rounds")
+
+
+def with_least(cluster: DataFrame, least: DataFrame) -> DataFrame:
+    """The rows of the clusters with the smallest member of each; ``least`` must be a plain table (see above)."""
+    return cluster.join(least, "v")

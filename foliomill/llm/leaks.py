@@ -13,15 +13,22 @@ counts where some stretch of ``STRETCH`` words stands in the document with at mo
 words changed, left out or put in; a word with one typo is half an edit. At most ``TRIM`` edits
 may be at the ends of the stretch: with more there, only a shorter phrase is left.
 
-General notices are no passages: stretches found in more different surroundings (``CONTEXT`` words
-on both sides) than ``NOTICE_SHARE`` of all documents, and than ``NOTICE_LEAST``, are dropped after
-counting over the whole corpus and the items, which are scanned like documents. Copies of one page
-have one surrounding and count once, however many. Text that several items share leads to each
-of them.
+The filter before the look-up loses nothing: a stretch with at most ``EDITS`` edits holds ``WIDTH``
+unchanged words in a row, whose window has the fingerprint of the item's own. It only keeps windows
+out of which more than one word stands in no item.
+
+General notices are no passages. They are told from the side of the items: a stretch belongs to a
+notice where it stands at the end of at least ``NOTICE_ITEMS`` other items behind different words,
+and in at least ``NOTICE_PAGES`` different surroundings (``CONTEXT`` words on both sides) of documents
+and items.
+Both limits are the same at every size. A passage may stand in any number of documents, copies of a
+page have one surrounding, and text that several items share otherwise leads to each of them.
+``notices`` tells what was held to be one.
 
 Scale: documents are scanned in one pass without a shuffle; only hits are aggregated. The
 items' index is broadcast in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
-characters, whatever the size of the item set.
+characters, one scan each, and released after it. How rare a word is, is counted over all items before
+(in ``COUNTERS`` hashed counters), so results don't depend on the blocks.
 
 Defined results: null, empty and blank texts hold nothing, and such items are found nowhere;
 repeated rows of a document or an item give one row per (document, item); an item shorter
@@ -36,7 +43,8 @@ import hashlib
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -60,12 +68,13 @@ KEPT = 0.78
 #: Costs of an edit and of a word with one typo, and what no stretch can cost; below UNIT stands the lost weight in 1/100.
 UNIT = 1_000_000
 CHANGED, MISSPELT, FAR = 2 * UNIT, UNIT, 1000 * UNIT
-NOTICE_SHARE, NOTICE_LEAST = 0.003, 30
+NOTICE_ITEMS, NOTICE_PAGES = 2, 10
 #: Diagonals that are tried together.
 BAND = 4
 #: Words on each side of a found part that tell one page from another.
 CONTEXT = 3
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
+COUNTERS = 1 << 18
 
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _WORD = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
@@ -104,22 +113,32 @@ def padded(parts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
     return flat, begin
 
 
+def counter(word: str) -> int:
+    return zlib.crc32(word.encode()) % COUNTERS
+
+
+def word_counts(texts: list[str]) -> np.ndarray:
+    """In how many texts each counter's words stand."""
+    out = np.zeros(COUNTERS, dtype=np.int32)
+    for t in texts:
+        out[sorted({counter(w) for w in words(t)})] += 1
+    return out
+
+
 class ItemIndex:
-    """Windows, fingerprints and words of a block of items; built from (item_id, text) of all blocks' words."""
+    """Windows, fingerprints and words of a block of items; ``counts`` and ``n`` are those of all items."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], counts: np.ndarray | None = None, n: int | None = None):
         self.ids = np.array(ids, dtype=np.int64)
         tokens = [words(t) for t in texts]
-        seen_in = Counter(w for t in tokens for w in set(t))
-        self.vocabulary = {w: i + 1 for i, w in enumerate(seen_in)}
-        n = max(len(ids), 1)
-        self.weight = np.array([1.0 + math.log(n)] + [1.0 + math.log(n / c) for c in seen_in.values()])
+        self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in tokens for w in t))}
+        counts, n = (word_counts(texts), len(texts)) if counts is None else (counts, n)
+        self.weight = np.array([1.0 + math.log(max(n, 1))] + [1.0 + math.log(n / counts[counter(w)]) for w in self.vocabulary])
         signs = np.random.default_rng(7).integers(0, 2, (len(self.weight), 64)) * 2 - 1
         self.signed = (signs * np.round(self.weight * 8)[:, None]).astype(np.int16)
         self.tokens = [np.array([self.vocabulary[w] for w in t], dtype=np.int32) for t in tokens]
         self.by_char = [bool(t) and sum(len(w) == 1 and ord(w) > 0x3000 for w in t) * 2 > len(t) for t in tokens]
         self.rule = [self._rule(len(t), c) for t, c in zip(tokens, self.by_char, strict=True)]
-        self.by_id = dict(zip(ids, self.by_char, strict=True))
         self.of_rule = {rule: np.array([x == rule for x in self.rule]) for rule in set(self.rule)}
         self.length = np.array([len(t) for t in tokens], dtype=np.int64)
         self.words = ["", *self.vocabulary]
@@ -258,18 +277,23 @@ class ItemIndex:
         return total, begin, end
 
     @staticmethod
-    def _contexts(found: dict[int, tuple[int, int, int]], spelt: list[str]) -> list[int]:
-        """For each start the hash of the words on both sides of the run of stretches that it stands in."""
+    def _contexts(found: dict[int, tuple[int, int, int]], spelt: list[str]) -> list[tuple[int, bool]]:
+        """For each start the hash of the words on both sides of the run of stretches that it stands in, and whether the run ends the text behind others."""
         starts = sorted(found)
         out = []
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
             begin, end = found[int(run[0])][1], found[int(run[-1])][2] + 1
             around = "\n".join([*spelt[max(begin - CONTEXT, 0) : begin], "", *spelt[end : end + CONTEXT]])
-            out += [int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True)] * len(run)
+            out += [(int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True), begin > 0 and end >= len(spelt) - 1)] * len(run)
         return out
 
-    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[int], list[int]]]:
-        """(position of the text, item_id, similarity, counting starts, their contexts) of each leak."""
+    def _tries(self, rule: tuple[int, int, int], document: np.ndarray, k: np.ndarray, band: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(document, item, band, start) of all stretches that hold one of the windows; every stretch that counts holds a window that proposes it."""
+        tries = np.stack(np.broadcast_arrays(document[:, None], k[:, None], band[:, None], at[:, None] - np.arange(max(rule[0] - WIDTH, 0) + 1)), 2).reshape(-1, 4)
+        return np.unique(tries[(tries[:, 3] >= 0) & (tries[:, 3] + rule[0] <= self.length[tries[:, 1]])], axis=0)
+
+    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[int], list[tuple[int, bool]]]]:
+        """(position of the text, position of the item, similarity, counting starts, their contexts) of each leak."""
         get = self.vocabulary.get
         spelt = [words(t) if t else [] for t in texts]
         ids = [np.array([get(w, 0) for w in t], dtype=np.int32) for t in spelt]
@@ -295,9 +319,7 @@ class ItemIndex:
         found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = defaultdict(dict)
         for rule in set(self.rule):
             mine = np.flatnonzero(self.of_rule[rule][k])
-            # every stretch that counts holds a window that proposes it
-            tries = np.stack(np.broadcast_arrays(document[mine, None], k[mine, None], band[mine, None], at[mine, None] - np.arange(max(rule[0] - WIDTH, 0) + 1)), 2).reshape(-1, 4)
-            tries = np.unique(tries[(tries[:, 3] >= 0) & (tries[:, 3] + rule[0] <= self.length[tries[:, 1]])], axis=0)
+            tries = self._tries(rule, document[mine], k[mine], band[mine], at[mine])
             for a in range(0, len(tries), 5000):
                 part = tries[a : a + 5000]
                 for row, cost, left_end, right_end in self._aligned(rule, flat, strings, begin[part[:, 0]], part[:, 1], part[:, 3], part[:, 2]):
@@ -306,7 +328,7 @@ class ItemIndex:
                     found[d, i][start] = min(one, found[d, i].get(start, one))
         for (d, i), starts in found.items():
             score = 1 - min(starts.values())[0] // UNIT * UNIT / (CHANGED * self.rule[i][0])
-            yield d, int(self.ids[i]), score, sorted(starts), self._contexts(starts, spelt[d])
+            yield d, i, score, sorted(starts), self._contexts(starts, spelt[d])
 
 
 _built: dict[int, ItemIndex] = {}
@@ -321,52 +343,95 @@ def _index_of(shared) -> ItemIndex:
     return _built[key]
 
 
-def _item_blocks(items: DataFrame, item: str, text: str) -> Iterator[tuple[list[int], list[str]]]:
-    """Items in id order in blocks of a bounded number of rows and characters."""
-    rows = items.where(F.col(item).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(item).cast("long").alias("item")).agg(F.max(text).alias("text")).orderBy("item")
+def _item_blocks(items: DataFrame) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Items (item, version, text) in id order in blocks of a bounded number of rows and characters."""
     ids: list[int] = []
+    versions: list[int] = []
     texts: list[str] = []
     size = 0
-    for row in rows.toLocalIterator():
+    for row in items.orderBy("item", "version").toLocalIterator():
         if ids and (len(ids) >= BLOCK_ITEMS or size + len(row["text"]) > BLOCK_CHARS):
-            yield ids, texts
-            ids, texts, size = [], [], 0
+            yield ids, versions, texts
+            ids, versions, texts, size = [], [], [], 0
         ids.append(row["item"])
+        versions.append(row["version"])
         texts.append(row["text"])
         size += len(row["text"])
-    yield ids, texts
+    yield ids, versions, texts
+
+
+def _all_counts(items: DataFrame) -> tuple[np.ndarray, int]:
+    """``word_counts`` of all items (at most COUNTERS rows come back) and the number of items."""
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = word_counts(batch["text"].tolist())
+            at = np.flatnonzero(found)
+            yield pd.DataFrame({"counter": at, "n": found[at]})
+
+    counts = np.zeros(COUNTERS, dtype=np.int32)
+    for row in items.select("text").mapInPandas(per_batch, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+        counts[row["counter"]] = row["n"]
+    return counts, items.count()
 
 
 _numbers = count()
 
 
-def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
-    """(key, item_id, similarity) for each document that holds a counting part of an item."""
+_HIT = "own boolean, item long, version long, similarity double, starts array<int>, contexts array<long>, tails array<boolean>, by_char boolean"
+
+
+def _hits(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """Every alignment of a document (``own`` false) or of an item with an item, as a written table."""
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
+    passages = cut(items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).distinct().withColumn("version", F.xxhash64("text")))
+    counts, n = _all_counts(passages)
     rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.lit(False).alias("own"))
-    rows = rows.unionByName(items.select(F.lit(None).cast(kind).alias("doc"), F.col(item_text).alias("text"), F.lit(True).alias("own")))
-    hits = None
-    for ids, texts in _item_blocks(items, item, item_text):
-        shared = spark.sparkContext.broadcast((next(_numbers), ids, texts))
+    rows = rows.unionByName(passages.select(F.lit(None).cast(kind).alias("doc"), "text", F.lit(True).alias("own")))
+    hits, sent = None, []
+    for ids, versions, texts in _item_blocks(passages):
+        shared = spark.sparkContext.broadcast((next(_numbers), ids, texts, counts, n))
+        sent.append(shared)
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, versions=versions) -> Iterator[pd.DataFrame]:
             index = _index_of(shared)
             for batch in batches:
                 docs, body, own = batch["doc"].array, batch["text"].to_numpy(), batch["own"].to_numpy()
                 for a in range(0, len(batch), 500):
                     found = list(index.scan([t if isinstance(t, str) else None for t in body[a : a + 500]]))
                     if found:
-                        yield pd.DataFrame({"doc": docs.take([a + d for d, *_ in found]), "own": [own[a + d] for d, *_ in found], "item": [i for _, i, *_ in found], "similarity": [s for _, _, s, *_ in found], "starts": [x for *_, x, _ in found], "contexts": [x for *_, x in found], "by_char": [bool(index.by_id[i]) for _, i, *_ in found]})
+                        yield pd.DataFrame({
+                            "doc": docs.take([a + d for d, *_ in found]), "own": [own[a + d] for d, *_ in found], "item": [int(index.ids[i]) for _, i, *_ in found], "version": [versions[i] for _, i, *_ in found],
+                            "similarity": [s for _, _, s, *_ in found], "starts": [x for *_, x, _ in found], "contexts": [[c for c, _ in x] for *_, x in found], "tails": [[t for _, t in x] for *_, x in found], "by_char": [bool(index.by_char[i]) for _, i, *_ in found],
+                        })
 
-        part = rows.mapInPandas(scan, f"doc {kind}, own boolean, item long, similarity double, starts array<int>, contexts array<long>, by_char boolean")
+        part = rows.mapInPandas(scan, f"doc {kind}, {_HIT}")
         hits = part if hits is None else hits.unionByName(part)
     hits = cut(hits)
-    total = documents.count()
-    counted = hits.select("doc", "own", "item", "similarity", "by_char", F.explode(F.arrays_zip("starts", "contexts")).alias("s")).select("doc", "own", "item", "similarity", "by_char", F.col("s.starts").alias("start"), F.col("s.contexts").alias("context"))
-    common = counted.groupBy("item", "start").agg(F.countDistinct("context").alias("n"), F.first("by_char").alias("by_char")).where(F.col("n") > max(NOTICE_LEAST, int(NOTICE_SHARE * total)))
+    for shared in sent:
+        shared.unpersist()
+    return hits
+
+
+def _by_stretch(hits: DataFrame) -> DataFrame:
+    stretches = hits.select("doc", "own", "item", "version", "similarity", "by_char", F.explode(F.arrays_zip("starts", "contexts", "tails")).alias("s"))
+    return stretches.select("doc", "own", "item", "version", "similarity", "by_char", F.col("s.starts").alias("start"), F.col("s.contexts").alias("context"), F.col("s.tails").alias("tail"))
+
+
+def notices(hits: DataFrame) -> DataFrame:
+    """(item, version, start, by_char, n_items, n_pages) of each stretch of a general notice."""
+    # distinct first: copies of a page and repeated items are folded before anything is counted
+    once = _by_stretch(hits).select("item", "version", "start", "by_char", "context", "own", (F.col("own") & F.col("tail")).alias("ends")).distinct()
+    counted = once.groupBy("item", "version", "start").agg(F.first("by_char").alias("by_char"), F.count_if("ends").alias("n_items"), F.countDistinct("context").alias("n_pages"))
+    return counted.where((F.col("n_items") >= NOTICE_ITEMS) & (F.col("n_pages") >= NOTICE_PAGES))
+
+
+def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """(key, item_id, similarity) for each document that holds a counting part of an item."""
+    hits = _hits(documents, key, text, items, item, item_text)
     # the words of a notice belong to no passage: stretches that hold some of them are dropped too
     size, trim = (F.when(F.col("by_char"), x).otherwise(y) for x, y in ((STRETCH_CHARS, STRETCH), (TRIM_CHARS, TRIM)))
-    held = common.select("item", F.explode(F.sequence(F.col("start") - size + trim + 1, F.col("start") + size - trim - 1)).alias("start")).distinct()
-    kept = counted.where(~F.col("own")).join(held, ["item", "start"], "left_anti")
+    held = notices(hits).select("item", "version", F.explode(F.sequence(F.col("start") - size + trim + 1, F.col("start") + size - trim - 1)).alias("start")).distinct()
+    kept = _by_stretch(hits.where(~F.col("own"))).join(held, ["item", "version", "start"], "left_anti")
     return kept.groupBy("doc", "item").agg(F.max("similarity").alias("similarity")).withColumnsRenamed({"doc": key, "item": item})

@@ -57,11 +57,68 @@ def test_found_and_not_found(spark, items):
     assert sorted((r.doc, r.item) for r in found) == sorted((d, i) for d, _, s in docs for i in s)
 
 
-def test_notice_of_one_item_in_many_documents(spark):
+def pairs(spark, documents, items):
+    found = leaks.find_leaks(spark.createDataFrame(documents, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, p string"), "i", "p").collect()
+    return sorted((r.d, r.i) for r in found)
+
+
+def test_passage_in_many_documents_is_no_notice(spark):
     passages = texts(4, 2, 12)
     rows = [(i, passages[0] + " " + f"tail {i}") for i in range(60)] + [(99, passages[1])]
-    found = leaks.find_leaks(spark.createDataFrame(rows, "d long, t string"), "d", "t", spark.createDataFrame(list(enumerate(passages)), "i long, p string"), "i", "p").collect()
-    assert [(r.d, r.i) for r in found] == [(99, 1)]
+    assert pairs(spark, rows, list(enumerate(passages))) == [(i, 0) for i in range(60)] + [(99, 1)]
+
+
+def test_notice_at_the_end_of_items(spark, items):
+    filler = texts(12, 30, 8)
+    rows = [(i, f"{x} {NOTICE} {x[::-1]}") for i, x in enumerate(filler)] + [(99, items[3][1])]
+    assert pairs(spark, rows, [x for x in items if x[1]]) == [(99, items[3][0])]
+
+
+def test_repeated_items_in_many_documents(spark):
+    passages, filler = plain(14, 2, 20), plain(15, 50, 6)
+    items = [(1, passages[0]), (2, passages[0]), (3, passages[0]), (4, passages[0] + "."), (5, passages[1]), (5, passages[0])]
+    rows = [(i, f"{x} {passages[0]} {x[::-1]}") for i, x in enumerate(filler)]
+    assert pairs(spark, rows, items) == [(i, k) for i in range(50) for k in (1, 2, 3, 4, 5)]
+
+
+def test_every_counting_stretch_is_proposed(monkeypatch):
+    """The windows lose nothing: trying every stretch on every diagonal finds the same."""
+    rng = random.Random(21)
+    passages = plain(20, 6, 24)
+    index = leaks.ItemIndex(list(range(6)), passages)
+    documents = []
+    for _ in range(150):
+        part = rng.choice(passages).split()
+        begin = rng.randrange(0, 13)
+        part = part[begin : begin + rng.randrange(9, 25)]
+        for _ in range(rng.randrange(0, 5)):
+            p = rng.randrange(len(part))
+            part[p : p + 1] = rng.choice([["other"], [], [part[p], "more"], [part[p][1:]], [part[p][:3] + "z" + part[p][3:]]])
+        documents.append(" ".join(plain(rng.randrange(99), 1, 5) + part + plain(rng.randrange(99), 1, 5)))
+    got = {(d, i, tuple(starts)) for d, i, _, starts, _ in index.scan(documents)}
+
+    def all_tries(self, rule, document, k, band, at):
+        out = []
+        for d, text in enumerate(documents):
+            n = len(leaks.words(text))
+            for i in range(len(passages)):
+                for start in range(int(self.length[i]) - rule[0] + 1):
+                    for b in range((-start - 2) // leaks.BAND - 1, (n - start) // leaks.BAND + 1):
+                        out.append((d, i, b, start))
+        return np.array(out)
+
+    monkeypatch.setattr(leaks.ItemIndex, "_tries", all_tries)
+    brute = {(d, i, tuple(starts)) for d, i, _, starts, _ in index.scan([*documents])}
+    assert len({(d, i) for d, i, _ in brute}) > 60
+    assert {(d, i) for d, i, _ in got} == {(d, i) for d, i, _ in brute}
+
+
+def test_weights_do_not_depend_on_blocks():
+    passages = plain(30, 20)
+    whole = leaks.ItemIndex(list(range(20)), passages)
+    counts = leaks.word_counts(passages)
+    half = leaks.ItemIndex(list(range(10)), passages[:10], counts, 20)
+    assert all(half.weight[v] == whole.weight[whole.vocabulary[w]] for w, v in half.vocabulary.items())
 
 
 def plain(seed, n, size=30):
@@ -70,7 +127,7 @@ def plain(seed, n, size=30):
 
 
 def found_in(index, text):
-    return {i for _, i, *_ in index.scan([text])}
+    return {int(index.ids[i]) for _, i, *_ in index.scan([text])}
 
 
 def test_changes_at_every_position_of_a_part():
@@ -109,13 +166,13 @@ def test_phrase_about_other_names_is_no_passage():
     assert found_in(index, frame.format("othername", "anothername")) == set()
 
 
-def test_copies_of_a_page_make_no_notice(spark):
+def test_copies_of_a_page(spark):
     page, other = plain(6, 2, 40)
     passages = plain(4, 3, 20)
     rows = [(i, f"{page} {passages[0]} {other}") for i in range(50)] + [(i, f"{page} {i} {passages[0]} {other}"[i - 50 :]) for i in range(50, 60)]
     rows += [(99, f"{other} {passages[0]}"), (100, passages[1])] + [(i, f"{x} {passages[2]} {x[::-1]}") for i, x in enumerate(plain(7, 60, 5), 200)]
     found = leaks.find_leaks(spark.createDataFrame(rows, "d long, t string"), "d", "t", spark.createDataFrame(list(enumerate(passages)), "i long, p string"), "i", "p").collect()
-    assert sorted((r.d, r.i) for r in found) == [(i, 0) for i in range(60)] + [(99, 0), (100, 1)]
+    assert sorted((r.d, r.i) for r in found) == [(i, 0) for i in range(60)] + [(99, 0), (100, 1)] + [(i, 2) for i in range(200, 260)]
 
 
 @pytest.mark.parametrize("block", [leaks.BLOCK_ITEMS, 1])
