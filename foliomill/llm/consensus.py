@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions.verdicts import LABELS, label_index
@@ -39,13 +39,11 @@ STEPS = 3
 PRIOR_CLASS, PRIOR_RIGHT, PRIOR_WRONG = 1.0, 1.5, 0.5
 
 
-def digamma(x: Column) -> Column:
-    """Digamma of positive values: recurrence to x + 6, then the asymptotic series (error below 1e-9)."""
-    y = x + 6
-    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6)
-    for i in range(6):
-        series = series - 1 / (x + i)
-    return series
+def digamma(x: str) -> str:
+    """SQL text of digamma of a positive expression: recurrence to x + 6, then the asymptotic series (error below 1e-9)."""
+    y = f"(({x}) + 6)"
+    series = f"ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6))"
+    return f"({series} - {' - '.join(f'1 / (({x}) + {i})' for i in range(6))})"
 
 
 def counted_votes(votes: DataFrame, item: str, annotator: str, label: str, confidence: str, version: str) -> DataFrame:
@@ -90,65 +88,61 @@ def fit(votes: DataFrame, max_rounds: int = 600, tolerance: float = 1e-4) -> Con
     prior_votes = votes.select("item").distinct().select("item", F.lit(-1).cast("long").alias("who"), F.lit(None).cast("int").alias("label"), F.lit(-1).alias("outcome"))
     rows = votes.unionByName(prior_votes).repartition(parts, "item").sortWithinPartitions("item").persist()
 
-    first = [F.sum(F.when(F.col("label") == k, 1.0).otherwise(0.0)).over(Window.partitionBy("item")) + 0.01 for k in classes]
-    counts = cut(_counts(_shares(rows.select("who", "outcome", *[x.alias(f"q{k}") for k, x in enumerate(first)]))))
+    first = [f"sum(IF(label = {k}, 1D, 0D)) OVER (PARTITION BY item) + 0.01D AS q{k}" for k in classes]
+    counts = cut(_counts(_shares(rows.selectExpr("who", "outcome", *first))))
     small = counts.count() <= MAX_BROADCAST_ROWS
     for done in range(STEPS, max_rounds + STEPS, STEPS):
         new = counts
         for _ in range(STEPS):
-            new = _counts(_row_posteriors(rows, _expected_logs(new), small))
+            new = _counts(_row_posteriors(rows, _expected_logs(new, small), small))
         new = cut(new)
-        both = new.unionByName(counts.select("who", "outcome", *[(-F.col(f"n{k}")).alias(f"n{k}") for k in classes]))
-        change = both.groupBy("who", "outcome").agg(*[F.abs(F.sum(f"n{k}")).alias(f"d{k}") for k in classes], F.sum(sum((F.greatest(f"n{k}", F.lit(0.0)) for k in classes), F.lit(0.0))).alias("n"))
-        moved = change.agg(F.sum(sum((F.col(f"d{k}") for k in classes), F.lit(0.0))).alias("moved"), F.sum("n").alias("all")).first()
+        both = new.unionByName(counts.selectExpr("who", "outcome", *[f"-n{k} AS n{k}" for k in classes]))
+        change = both.groupBy("who", "outcome").agg(*[F.expr(f"abs(sum(n{k}))").alias(f"d{k}") for k in classes], F.expr(f"sum({' + '.join(f'greatest(n{k}, 0)' for k in classes)})").alias("n"))
+        moved = change.selectExpr(f"sum({' + '.join(f'd{k}' for k in classes)}) AS moved", "sum(n) AS all").first()
         release(counts)
         counts = new
         if not moved["all"] or moved["moved"] < tolerance * STEPS * moved["all"]:
-            posteriors = cut(_posteriors(rows, _expected_logs(counts), small))
+            posteriors = cut(_posteriors(rows, _expected_logs(counts, small), small))
             rows.unpersist()
             return Consensus(posteriors, votes, counts, done)
     raise RuntimeError(f"the fit did not settle in {max_rounds} rounds")
 
 
+# Plans of several rounds are deep, so the columns of a round are SQL text, each parsed at once.
+
+
 def _shares(df: DataFrame) -> DataFrame:
     """Divides q0, q1, ... by their sum."""
     names = [f"q{k}" for k in range(len(LABELS))]
-    total = sum((F.col(n) for n in names), F.lit(0.0))
-    return df.withColumn("total", total).select(*[c for c in df.columns if c not in names], *[(F.col(n) / F.col("total")).alias(n) for n in names])
+    keep = [c for c in df.columns if c not in names]
+    return df.selectExpr("*", f"{' + '.join(names)} AS total").selectExpr(*keep, *[f"{n} / total AS {n}" for n in names])
 
 
 def _softmax(df: DataFrame) -> DataFrame:
     """Turns sums of logs s0, s1, ... into shares q0, q1, ..."""
     names = [f"s{k}" for k in range(len(LABELS))]
     keep = [c for c in df.columns if c not in names]
-    top = df.withColumn("top", F.greatest(*names))
-    return _shares(top.select(*keep, *[F.exp(F.col(n) - F.col("top")).alias(f"q{k}") for k, n in enumerate(names)]))
+    return _shares(df.selectExpr("*", f"greatest({', '.join(names)}) AS top").selectExpr(*keep, *[f"exp({n} - top) AS q{k}" for k, n in enumerate(names)]))
 
 
 def _counts(row_posteriors: DataFrame) -> DataFrame:
     return row_posteriors.groupBy("who", "outcome").agg(*[F.sum(f"q{k}").alias(f"n{k}") for k in range(len(LABELS))])
 
 
-def _expected_logs(counts: DataFrame) -> DataFrame:
-    """E[log probability] of each (who, outcome) under each class; of the class itself for the pseudo annotator."""
+def _expected_logs(counts: DataFrame, small: bool) -> DataFrame:
+    """E[log probability] of each (who, outcome) under each class; of the class itself for the pseudo annotator.
+
+    Few counts (``small``, the bound of the broadcast) stand in one partition, which needs no shuffle.
+    """
+    counts = counts.coalesce(1) if small else counts
     classes = range(len(LABELS))
     width = BANDS + 1
-    is_prior = F.col("outcome") == -1
-    alpha = [F.when(is_prior, PRIOR_CLASS).when(F.floor(F.col("outcome") / width) == k, PRIOR_RIGHT / width).otherwise(PRIOR_WRONG / width) for k in classes]
+    of_who = "OVER (PARTITION BY who, outcome = -1)"
     row_alpha = PRIOR_RIGHT + PRIOR_WRONG * (len(LABELS) - 1)
-    own = [F.when(is_prior, 0.0).otherwise(F.col(f"n{k}")) for k in classes]
-    of_who = Window.partitionBy("who", is_prior)
-    joined = counts.select(
-        "*",
-        is_prior.alias("prior"),
-        *[F.sum(own[k]).over(of_who).alias(f"t{k}") for k in classes],
-        F.sum(sum((F.col(f"n{k}") for k in classes), F.lit(0.0))).over(of_who).alias("items"),
-    )
-    logs = [
-        (digamma(F.col(f"n{k}") + alpha[k]) - digamma(F.when(F.col("prior"), F.col("items") + PRIOR_CLASS * len(LABELS)).otherwise(F.col(f"t{k}") + row_alpha))).alias(f"l{k}")
-        for k in classes
-    ]
-    return joined.select("who", "outcome", *logs)
+    summed = counts.selectExpr("*", *[f"sum(n{k}) {of_who} AS t{k}" for k in classes], f"sum({' + '.join(f'n{k}' for k in classes)}) {of_who} AS items")
+    prior = [f"IF(outcome = -1, {PRIOR_CLASS}D, IF(outcome div {width} = {k}, {PRIOR_RIGHT / width}D, {PRIOR_WRONG / width}D))" for k in classes]
+    both = summed.selectExpr("who", "outcome", *[f"n{k} + {prior[k]} AS a{k}" for k in classes], *[f"IF(outcome = -1, items + {PRIOR_CLASS * len(LABELS)}D, t{k} + {row_alpha}D) AS b{k}" for k in classes])
+    return both.selectExpr("who", "outcome", *[f"{digamma(f'a{k}')} - {digamma(f'b{k}')} AS l{k}" for k in classes])
 
 
 def _scored(rows: DataFrame, logs: DataFrame, small: bool) -> DataFrame:
@@ -157,9 +151,7 @@ def _scored(rows: DataFrame, logs: DataFrame, small: bool) -> DataFrame:
 
 def _row_posteriors(rows: DataFrame, logs: DataFrame, small: bool) -> DataFrame:
     """(who, outcome, q0, q1, ...) of each vote: the posterior of its item."""
-    of_item = Window.partitionBy("item")
-    sums = _scored(rows, logs, small).select("who", "outcome", *[F.sum(f"l{k}").over(of_item).alias(f"s{k}") for k in range(len(LABELS))])
-    return _softmax(sums)
+    return _softmax(_scored(rows, logs, small).selectExpr("who", "outcome", *[f"sum(l{k}) OVER (PARTITION BY item) AS s{k}" for k in range(len(LABELS))]))
 
 
 def _posteriors(rows: DataFrame, logs: DataFrame, small: bool) -> DataFrame:
