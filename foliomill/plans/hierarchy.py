@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.operators.hierarchy import descendant_counts, descendants, latest_links, resolve_forest
-from foliomill.runtime import table
+from foliomill.runtime import cut, table
 
 TREES = {
     "chapter": ("chapter_id", "parent_chapter_id", "indexed_at"),
@@ -34,7 +34,10 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of descendants of each node."""
-    parts = [descendant_counts(df).select(F.lit(name).alias("tree"), F.col("node").alias("node_id"), "n_descendants") for name, df in _trees(spark, sf_dir, True)]
+    parts = []
+    for name, columns in TREES.items():
+        links = cut(latest_links(table(spark, sf_dir, name), *columns))
+        parts.append(descendant_counts(links, resolve_forest(links)).select(F.lit(name).alias("tree"), F.col("node").alias("node_id"), "n_descendants"))
     return reduce(DataFrame.unionByName, parts)
 
 
