@@ -44,7 +44,6 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -125,6 +124,26 @@ def word_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+def unique_rows(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows of integer columns, sorted; each row is one number of mixed radix as long as that fits."""
+    if not len(columns[0]):
+        return columns
+    low = [int(c.min()) for c in columns]
+    size = [int(c.max()) - x + 1 for c, x in zip(columns, low, strict=True)]
+    if math.prod(size) >= 1 << 62:
+        rows = np.unique(np.stack(columns, 1), axis=0)
+        return tuple(rows[:, i] for i in range(len(columns)))
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for c, x, n in zip(columns, low, size, strict=True):
+        code = code * n + (c - x)
+    code = np.unique(code)
+    out = []
+    for x, n in zip(reversed(low), reversed(size), strict=True):
+        out.append(code % n + x)
+        code //= n
+    return tuple(reversed(out))
+
+
 class ItemIndex:
     """Windows, fingerprints and words of a block of items; ``counts`` and ``n`` are those of all items."""
 
@@ -144,6 +163,7 @@ class ItemIndex:
         self.words = ["", *self.vocabulary]
         self._index()
         self.flat, self.begin = padded(self.tokens, -3)
+        self._stretches()
 
     @staticmethod
     def _rule(m: int, by_char: bool) -> tuple[int, int, int]:
@@ -180,6 +200,31 @@ class ItemIndex:
             there[self._slot(keys)] = True
             self.tables.append((keys[order], order, there))
 
+    def _stretches(self) -> None:
+        """Numbers the stretches by their words: one that stands in several items is aligned once."""
+        self.stretch_at = np.full(len(self.flat), -1, dtype=np.int64)
+        first, item, start = [], [], []
+        held = [np.zeros(0, dtype=np.int64)]
+        for rule, mine in self.of_rule.items():
+            k = np.flatnonzero(mine & (self.length >= max(rule[0], 1)))
+            n = self.length[k] - rule[0] + 1
+            k = np.repeat(k, n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            where = self.begin[k] + at
+            if not len(where):
+                continue
+            _, one, number = np.unique(self.flat[where[:, None] + np.arange(rule[0])], axis=0, return_index=True, return_inverse=True)
+            self.stretch_at[where] = number.ravel() + sum(map(len, first))
+            first.append(where[one])
+            item.append(k)
+            start.append(at)
+            held.append(where)
+        self.first = np.concatenate([*first, np.zeros(0, dtype=np.int64)])
+        order = np.argsort(self.stretch_at[np.concatenate(held)], kind="stable")
+        self.holder = np.concatenate([*item, np.zeros(0, dtype=np.int64)])[order]
+        self.holder_start = np.concatenate([*start, np.zeros(0, dtype=np.int64)])[order]
+        self.holders = np.append(0, np.cumsum(np.bincount(self.stretch_at[np.concatenate(held)], minlength=len(self.first))))
+
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
@@ -213,37 +258,45 @@ class ItemIndex:
             right.append(b[close])
         if not left:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        return unique_rows(np.concatenate(left), np.concatenate(right))
 
-    def _aligned(self, rule: tuple[int, int, int], flat: np.ndarray, spelt: list[str], text: np.ndarray, k: np.ndarray, a: np.ndarray, band: np.ndarray) -> Iterator[tuple]:
-        """(row, cost, begin, end) of each stretch at item word ``a`` that stands in the text that begins at ``text`` of ``flat``.
+    def _aligned(self, rule: tuple[int, int, int], flat: np.ndarray, spelt: list[str], stretch: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows (row, cost, begin, end) of each stretch that stands at about word ``at`` of ``flat``.
 
-        The alignments tried are those on the diagonals of ``band`` and two beside it. Each of the
+        The alignments tried are those that begin at one of ``BAND`` words from ``at`` on, and two beside them. Each of the
         ``trim`` words that may be changed at the ends counts as an edit; what is left begins and ends
         with a match.
         """
         size, edits, trim = rule
-        own = self.flat[(self.begin[k] + a)[:, None] + np.arange(size)]
-        where = (text + a + BAND * band)[:, None, None] + np.arange(size)[:, None] + np.arange(-2, BAND + 2)
+        own = self.flat[self.first[stretch][:, None] + np.arange(size)]
+        where = at[:, None, None] + np.arange(size)[:, None] + np.arange(-2, BAND + 2)
         there = flat[np.clip(where, 0, len(flat) - 1)]
         same = there == own[:, :, None]
         rows = np.flatnonzero(same.any(2).sum(1) >= size - 2 * edits)
         own, where, there = own[rows], where[rows], there[rows]
         lost = np.round(100 * self.weight[own]).astype(np.int64)
-        cost = np.where(same[rows], 0, CHANGED + lost[:, :, None])
-        total, *ends = self._cheapest(cost, lost, edits, trim)
+        whole = same[rows].all(1)
+        straight = whole.argmax(1)
+        total, begin, end = np.zeros(len(rows), dtype=np.int64), straight, (size - 1) * (BAND + 4) + straight
+        rest = np.flatnonzero(~whole.any(1))
+        total[rest], begin[rest], end[rest] = self._edited(rule, own[rest], where[rest], there[rest], same[rows[rest]], lost[rest], spelt)
+        good = np.flatnonzero(self._enough(total, lost, edits))
+        cells = where[good].reshape(len(good), size * (BAND + 4))
+        at = np.arange(len(good))
+        return np.stack([rows[good], total[good], cells[at, begin[good]], cells[at, end[good]]], 1)
+
+    def _edited(self, rule: tuple[int, int, int], own: np.ndarray, where: np.ndarray, there: np.ndarray, same: np.ndarray, lost: np.ndarray, spelt: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_cheapest`` of stretches that don't stand word for word; typos are looked for where it is not enough."""
+        _, edits, trim = rule
+        cost = np.where(same, 0, CHANGED + lost[:, :, None])
+        total, begin, end = self._cheapest(cost, lost, edits, trim)
         bad = np.flatnonzero(~self._enough(total, lost, edits))
         if len(bad):
             for n, i, x in zip(*np.nonzero(there[bad] == 0), strict=True):
                 if misspelt(self.words[own[bad[n], i]], spelt[where[bad[n], i, x]]):
                     cost[bad[n], i, x] = MISSPELT
-            again = self._cheapest(cost[bad], lost[bad], edits, trim)
-            for old, x in zip((total, *ends), again, strict=True):
-                old[bad] = x
-        begin, end = ends
-        for n in np.flatnonzero(self._enough(total, lost, edits)).tolist():
-            yield int(rows[n]), int(total[n]), int(where[n].flat[begin[n]]), int(where[n].flat[end[n]])
+            total[bad], begin[bad], end[bad] = self._cheapest(cost[bad], lost[bad], edits, trim)
+        return total, begin, end
 
     @staticmethod
     def _enough(total: np.ndarray, lost: np.ndarray, edits: int) -> np.ndarray:
@@ -277,20 +330,22 @@ class ItemIndex:
         return total, begin, end
 
     @staticmethod
-    def _contexts(found: dict[int, tuple[int, int, int]], spelt: list[str]) -> list[tuple[int, bool]]:
-        """For each start the hash of the words on both sides of the run of stretches that it stands in, and whether the run ends the text behind others."""
-        starts = sorted(found)
+    def _contexts(found: np.ndarray, spelt: list[str]) -> list[tuple[int, bool]]:
+        """For each row (.., start, cost, first and last word) the hash of the words on both sides of the run of stretches that it stands in, and whether the run ends the text behind others."""
         out = []
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-            begin, end = found[int(run[0])][1], found[int(run[-1])][2] + 1
+        for run in np.split(found, np.flatnonzero(np.diff(found[:, 2]) > 1) + 1):
+            begin, end = int(run[0, 4]), int(run[-1, 5]) + 1
             around = "\n".join([*spelt[max(begin - CONTEXT, 0) : begin], "", *spelt[end : end + CONTEXT]])
             out += [(int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True), begin > 0 and end >= len(spelt) - 1)] * len(run)
         return out
 
-    def _tries(self, rule: tuple[int, int, int], document: np.ndarray, k: np.ndarray, band: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """(document, item, band, start) of all stretches that hold one of the windows; every stretch that counts holds a window that proposes it."""
-        tries = np.stack(np.broadcast_arrays(document[:, None], k[:, None], band[:, None], at[:, None] - np.arange(max(rule[0] - WIDTH, 0) + 1)), 2).reshape(-1, 4)
-        return np.unique(tries[(tries[:, 3] >= 0) & (tries[:, 3] + rule[0] <= self.length[tries[:, 1]])], axis=0)
+    def _tries(self, rule: tuple[int, int, int], document: np.ndarray, k: np.ndarray, diagonal: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, stretch, band) of all stretches that hold one of the windows; every stretch that counts holds a window that proposes it."""
+        ahead = max(rule[0] - WIDTH, 0) + 1
+        document, k, diagonal = (np.repeat(x, ahead) for x in (document, k, diagonal))
+        start = (at[:, None] - np.arange(ahead)).ravel()
+        there = (start >= 0) & (start + rule[0] <= self.length[k])
+        return unique_rows(document[there], self.stretch_at[self.begin[k[there]] + start[there]], (diagonal + start)[there] // BAND)
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, list[int], list[tuple[int, bool]]]]:
         """(position of the text, position of the item, similarity, counting starts, their contexts) of each leak."""
@@ -312,23 +367,30 @@ class ItemIndex:
         w = np.repeat(first[left], n)
         document = np.searchsorted(begin, w, "right") - 1
         k, at = self.item[entry].astype(np.int64), self.at[entry].astype(np.int64)
-        band = (w - begin[document] - at) // BAND
+        diagonal = w - begin[document] - at
         strings = [""] * len(flat)
         for x, t in zip(begin.tolist(), spelt, strict=True):
             strings[x : x + len(t)] = t
-        found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = defaultdict(dict)
+        found = []
         for rule in set(self.rule):
             mine = np.flatnonzero(self.of_rule[rule][k])
-            tries = self._tries(rule, document[mine], k[mine], band[mine], at[mine])
-            for a in range(0, len(tries), 5000):
-                part = tries[a : a + 5000]
-                for row, cost, left_end, right_end in self._aligned(rule, flat, strings, begin[part[:, 0]], part[:, 1], part[:, 3], part[:, 2]):
-                    d, i, _, start = part[row].tolist()
-                    one = (cost, left_end - int(begin[d]), right_end - int(begin[d]))
-                    found[d, i][start] = min(one, found[d, i].get(start, one))
-        for (d, i), starts in found.items():
-            score = 1 - min(starts.values())[0] // UNIT * UNIT / (CHANGED * self.rule[i][0])
-            yield d, i, score, sorted(starts), self._contexts(starts, spelt[d])
+            tries = self._tries(rule, document[mine], k[mine], diagonal[mine], at[mine])
+            for a in range(0, len(tries[0]), 5000):
+                d, stretch, bands = (x[a : a + 5000] for x in tries)
+                row, cost, left_end, right_end = self._aligned(rule, flat, strings, stretch, begin[d] + BAND * bands).T
+                d = d[row]
+                first, n = self.holders[stretch[row]], self.holders[stretch[row] + 1] - self.holders[stretch[row]]
+                holder = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                found.append(np.stack([np.repeat(d, n), self.holder[holder], self.holder_start[holder], *(np.repeat(x, n) for x in (cost, left_end - begin[d], right_end - begin[d]))], 1))
+        if not found:
+            return
+        best = np.concatenate(found)
+        best = best[np.lexsort(best.T[::-1])]
+        best = best[np.append(True, (best[1:, :3] != best[:-1, :3]).any(1))[: len(best)]]
+        for one in np.split(best, np.flatnonzero((best[1:, :2] != best[:-1, :2]).any(1)) + 1) if len(best) else []:
+            d, i = one[0, :2].tolist()
+            score = 1 - int(one[:, 3].min()) // UNIT * UNIT / (CHANGED * self.rule[i][0])
+            yield d, i, score, one[:, 2].tolist(), self._contexts(one, spelt[d])
 
 
 _built: dict[int, ItemIndex] = {}

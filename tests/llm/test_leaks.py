@@ -97,15 +97,9 @@ def test_every_counting_stretch_is_proposed(monkeypatch):
         documents.append(" ".join(plain(rng.randrange(99), 1, 5) + part + plain(rng.randrange(99), 1, 5)))
     got = {(d, i, tuple(starts)) for d, i, _, starts, _ in index.scan(documents)}
 
-    def all_tries(self, rule, document, k, band, at):
-        out = []
-        for d, text in enumerate(documents):
-            n = len(leaks.words(text))
-            for i in range(len(passages)):
-                for start in range(int(self.length[i]) - rule[0] + 1):
-                    for b in range((-start - 2) // leaks.BAND - 1, (n - start) // leaks.BAND + 1):
-                        out.append((d, i, b, start))
-        return np.array(out)
+    def all_tries(self, rule, document, k, diagonal, at):
+        lengths = [len(leaks.words(t)) for t in documents]
+        return tuple(np.array([(d, s, b) for d, n in enumerate(lengths) for s in range(len(self.first)) for b in range(-rule[0] // leaks.BAND - 1, n // leaks.BAND + 1)]).T)
 
     monkeypatch.setattr(leaks.ItemIndex, "_tries", all_tries)
     brute = {(d, i, tuple(starts)) for d, i, _, starts, _ in index.scan([*documents])}
@@ -130,6 +124,12 @@ def found_in(index, text):
     return {int(index.ids[i]) for _, i, *_ in index.scan([text])}
 
 
+@pytest.mark.parametrize("most", [5, 1 << 40])
+def test_unique_rows(most):
+    rows = np.random.default_rng(3).integers(-most, most, (400, 3))
+    assert np.array_equal(np.stack(leaks.unique_rows(*rows.T), 1), np.unique(rows, axis=0))
+
+
 def test_changes_at_every_position_of_a_part():
     passages = plain(1, 40)
     index = leaks.ItemIndex(list(range(500, 540)), passages)
