@@ -65,6 +65,16 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(df: DataFrame, *keys: str, rows_per_task: int = 20_000) -> DataFrame:
+    """``df`` in as many partitions as its number of rows asks for, in front of a Python stage.
+
+    The cost of such a stage goes by rows, while adaptive execution would size its tasks by bytes. All
+    cores get a part, and no task more than about ``rows_per_task`` rows. Pass a table: its rows are counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // rows_per_task)), *keys)
+
+
 def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if ``df`` is proven to hold at most ``max_rows`` rows.
 
