@@ -1,32 +1,40 @@
 """Variant spellings of names typed by people: noisy-channel attribution.
 
-Rows are parsed into people, bodies and rows that name two people. Three rounds of the same
-channel follow, each over distinct forms with their frequencies, found through shared deletes
-(never all pairs of a group):
-
-1. given names: rare spellings are attached to frequent ones;
-2. surnames: within one surname neighbourhood and one initial, a spelling is attached to the
-   candidate of the greatest posterior (log frequency as prior, weighted edit cost as
-   likelihood);
-3. short forms: nicknames, initials, missing middle initials and generation marks are attached
-   to the one full name of that surname they fit; where several fit, to none.
-
-Bodies go through the channel with their first word as the name and the words for their kind
-as a key that must agree. Attachments are chained with hash-to-min, so an attachment to a form
-that is itself attached ends at the same entity.
-
-Frequencies are partial aggregations over all rows; joins are on a deleted spelling together
-with an initial, so no key collects more than the spellings of near names. Nothing is
-collected to the driver.
+Rows are parsed into people, bodies and rows that name two people. Distinct forms with their
+frequencies then go through one channel model: a form is attached to the candidate of the
+greatest posterior, which is the candidate's frequency (prior) times the likelihood that it was
+typed as the form. Forms and candidates meet through shared keys, never as all pairs of a group:
+
+1. typos, in given names, in surnames and in the names of bodies: candidates share a delete; the
+   likelihood falls with the weighted edit cost;
+2. nicknames: candidates are the full names of that surname that the nickname may stand for
+   (``SHORT``), and, with the little weight ``ELSEWHERE``, those of all other surnames;
+3. dropped parts: middle initials, generation marks, given names cut to an initial or left out
+   (``DROPPED``); an initial that the full form lacks is far less likely (``ADDED``).
+
+In 2 and 3 a form is attached only where one candidate holds the share ``CERTAIN`` of the
+posterior: what fits two people about as well belongs to none. Attachments by typos are chained
+with hash-to-min, so an attachment to a form that is itself attached ends at the same entity.
+
+A surname spelling shared by people of several initials is the name of a family rather than a slip;
+it is attached only to a spelling shared by ``FAMILY`` times as many initials. Bodies are told by
+the words for their kind (a list, endings such as -ation, their place in the name); the words of
+the kind must agree.
+
+Frequencies are partial aggregations over all rows. Delete keys take in the whole word, or both
+ends of a long one, so no key collects more than the spellings of near names. Nothing is
+collected to the driver; Python stages are spread by the number of rows.
 
 Defined results: rows with a null id or a null or blank name take no part; a row that names
-two people is an entity of its own; repeated rows of an id count once; equal posteriors go to
-the smaller spelling; extra columns are ignored.
+two people is an entity of its own ("y" or "et" between a given name with surname and a lone
+second surname names one); of repeated rows of an id the greatest name counts; equal posteriors
+go to the smaller spelling; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,7 +44,7 @@ from pyspark.sql.functions import pandas_udf
 
 from foliomill.llm.groups import hash_to_min
 from foliomill.llm.spelling import deletes, fold, hidden, repair, squeeze, typo_cost
-from foliomill.runtime import cut
+from foliomill.runtime import cut, spread
 
 #: Titles, roles and degrees that belong to no name (fixed values).
 NOISE = frozenset("dr prof professor mr mrs ms sir phd md msc ed eds editor author by the llc inc ltd".split())
@@ -75,6 +83,9 @@ BODY_WORDS = {
     "graph": ("graph",),
 }
 _BODY_HEADS = frozenset("foundation institute center association collective university department laboratory society committee consortium".split())
+#: Other words that name a body where they stand last in a name, or in front of "of" or "for" (fixed values).
+_OTHER_HEADS = frozenset("council agency bureau ministry office authority academy college school company board union alliance network team project press library museum hospital trust forum club league service services".split())
+_HEAD_ENDING = re.compile(r"(?:[aieo]tion|ment|ology|ometry|ics|ware|works|ship)s?$")
 #: Short forms of given names (fixed values).
 NICKNAMES = {
     "abigail": "abby gail", "alexander": "alex sasha xander", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "charles": "charlie chuck",
@@ -88,22 +99,33 @@ NICKNAMES = {
     "thomas": "tom tommy", "timothy": "tim", "valentina": "vale val", "victoria": "vicky tori", "vincent": "vince vinny", "vladislav": "vlad", "william": "bill billy will",
     "wolfgang": "wolf", "xavier": "xavi javi", "zachary": "zach zack",
 }
-SHORT_OF = {short: tuple(full for full, shorts in NICKNAMES.items() if short in shorts.split()) for short in {s for x in NICKNAMES.values() for s in x.split()}}
+SHORT_OF = [(short, full) for full, shorts in NICKNAMES.items() for short in shorts.split()]
 
 #: Spellings differ by at most so many edits.
 MAX_EDITS = 2
 #: Log-odds that one unit of typo cost takes from a candidate's prior.
 PENALTY = 1.2
+#: Likelihoods of typing a nickname, of dropping a part and of adding a middle initial.
+SHORT, DROPPED, ADDED = 0.2, 0.3, 1e-5
+#: Weight of a full name seen with other surnames only.
+ELSEWHERE = 1e-4
+#: Share of the posterior that one candidate must hold.
+CERTAIN = 0.98
+#: A family's spelling is a slip of one that so many times as many initials share.
+FAMILY = 8
 #: Rows that a name of NICKNAMES counts for beside those it stands in.
 LISTED = 5
 #: Words held to be given names when they stand first in so many different rows.
 KNOWN_GIVEN = 3
 
 PARSED = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "first", "last", "middle", "gen", "given", "surname", "body")] + [T.StructField("order", T.StringType())])
-_PAIR = re.compile(r"\s(?:&|and|with|und|et|y)\s|;\s*(?=\S)", re.I)
+_PAIR = re.compile(r"\s(?:&|and|with|und)\s|;\s*(?=\S)", re.I)
+#: Joins two people, or the two surnames of one.
+_AND = re.compile(r"\s(?:et|y)\s", re.I)
 _ROLE = re.compile(r"[(\[][^)\]]*[)\]]")
 
 
+@lru_cache(1 << 16)
 def body_word(word: str) -> str | None:
     for name, forms in BODY_WORDS.items():
         if word in forms:
@@ -117,12 +139,26 @@ def body_word(word: str) -> str | None:
 
 def _body(words: list[str]) -> tuple[str, str] | None:
     kinds = [body_word(w) for w in words]
-    if sum(k is not None for k in kinds) < 2 or not (set(kinds) & _BODY_HEADS or {"working", "group"} <= set(kinds)):
-        return None
+    listed = sum(k is not None for k in kinds) >= 2 and (set(kinds) & _BODY_HEADS or {"working", "group"} <= set(kinds))
+    if not listed:
+        heads = [w in _OTHER_HEADS or kind in _BODY_HEADS or (len(w) > 7 and _HEAD_ENDING.search(w) is not None) for w, kind in zip(words, kinds, strict=True)]
+        last = len(words) > 2 and heads[-1] and min(map(len, words)) > 1
+        if not last and not any(head and nxt in ("of", "for") for head, nxt in zip(heads, words[1:], strict=False)):
+            return None
+        kinds = [kind or (w if head else None) for w, kind, head in zip(words, kinds, heads, strict=True)]
     own = [w for w, k in zip(words, kinds, strict=True) if k is None and w not in ("of", "on", "for", "and", "the")]
     return "".join(own), " ".join(sorted(k for k in kinds if k))
 
 
+def _two_people(plain: str) -> bool:
+    if _PAIR.search(plain):
+        return True
+    sides = [side.split() for side in _AND.split(plain.split(",")[0])]
+    if len(sides) < 2:
+        return False
+    return not (len(sides) == 2 and len(sides[1]) == 1 and ("," in plain or len(sides[0]) > 1))
+
+
 def parse(name: str | None) -> dict | None:
     """The parts of a typed name; ``order`` is 'sure' where a comma or a lone word tells the surname."""
     if name is None or not squeeze(name):
@@ -134,7 +170,7 @@ def parse(name: str | None) -> dict | None:
     blank = dict.fromkeys(("first", "last", "middle", "gen", "given", "surname", "body"))
     if body:
         return blank | {"kind": "body", "surname": body[0], "body": body[1], "order": "sure"}
-    if _PAIR.search(plain):
+    if _two_people(plain):
         return blank | {"kind": "two", "order": "sure"}
     parts = [[w for w in re.split(r"[\s.]+", fold(p)) if squeeze(w)] for p in plain.split(",")]
     gen = next((GENERATIONS[squeeze(w)] for p in parts for w in p if squeeze(w) in GENERATIONS), None)
@@ -152,6 +188,8 @@ def parse(name: str | None) -> dict | None:
         if end < len(words):
             return blank | _person(words[end:], words[:end]) | {"kind": "person", "gen": gen, "order": "sure"}
     cut_at = next((i for i in range(1, len(words)) if words[i] in PARTICLES and i < len(words) - 1), None)
+    if len(words) > 3 and words[-2] in ("y", "et"):
+        cut_at = min(len(words) - 3, cut_at or len(words))
     if cut_at is None:
         cut_at = len(words) - 1
         last_is_initial = len(squeeze(words[-1])) == 1
@@ -165,9 +203,9 @@ def parse(name: str | None) -> dict | None:
 
 def _person(given: list[str], surname: list[str]) -> dict:
     names = [squeeze(w) for w in given]
-    middle = "".join(w[0] for w in names[1:] if w not in PARTICLES)
+    middle = "".join(w[0] for w in names[1:] if w and w not in PARTICLES)
     particles = [w for w in names[1:] if w in PARTICLES]
-    return {"given": names[0] if names else "", "middle": middle[:1], "surname": "".join(particles) + "".join(squeeze(w) for w in surname)}
+    return {"given": names[0] if names else "", "middle": middle, "surname": "".join(particles) + "".join(squeeze(w) for w in surname)}
 
 
 @pandas_udf(PARSED)
@@ -176,9 +214,19 @@ def parse_udf(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=PARSED.names, dtype=object)
 
 
+def near_keys(word: str) -> list[str]:
+    """Keys that two words within MAX_EDITS edits share: deletes of the whole word, or of both ends of a long one."""
+    whole = deletes(word, MAX_EDITS if len(word) > 5 else 1, 16) if len(word) <= 16 else []
+    if len(word) <= 16 - MAX_EDITS:
+        return whole
+    # lengths about the limit have both kinds of keys
+    head, tail = word[:7], word[:-8:-1]
+    return whole + sorted({f"{x}|{y}" for n in range(MAX_EDITS + 1) for x in deletes(head, n) for y in deletes(tail, MAX_EDITS - n)})
+
+
 @pandas_udf(T.ArrayType(T.StringType()))
 def near_keys_udf(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: deletes(w, MAX_EDITS if len(w) > 5 else 1, 12))
+    return words.map(near_keys)
 
 
 @pandas_udf(T.DoubleType())
@@ -186,24 +234,20 @@ def cost_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([typo_cost(x, y, 3.0) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def full_names_udf(given: pd.Series) -> pd.Series:
-    return given.map(lambda g: list(SHORT_OF.get(g, ())))
-
-
 def channel(forms: DataFrame, key: list[str], word: str, count: str, most: Column) -> DataFrame:
     """(key..., word, canon): each spelling with the candidate of the greatest posterior.
 
     Candidates are spellings that share ``key`` and a delete and rank before the spelling by
     (count, spelling). The posterior is log count minus PENALTY times the typo cost; the
-    spelling itself stands with its own count and no cost. ``most`` bounds the cost.
+    spelling itself stands with its own count and no cost. ``most`` bounds the cost; it may use the
+    other columns of ``forms``, those of the candidate under the name ``canon_...``.
     """
     extra = [c for c in forms.columns if c not in (*key, word, count)]
-    keyed = forms.select(*key, word, count, *extra, F.explode(near_keys_udf(word)).alias("_near"))
-    other = keyed.select(*key, F.col(word).alias("canon"), F.col(count).alias("canon_count"), "_near")
+    keyed = spread(forms, word).select(*key, word, count, *extra, F.explode(near_keys_udf(word)).alias("_near"))
+    other = keyed.select(*key, F.col(word).alias("canon"), F.col(count).alias("canon_count"), *[F.col(c).alias(f"canon_{c}") for c in extra], "_near")
     before = (F.col("canon_count") > F.col(count)) | ((F.col("canon_count") == F.col(count)) & (F.col("canon") < F.col(word)))
     # the deletes are many times what their source's size suggests: never a broadcast
-    met = keyed.join(other.hint("merge"), [*key, "_near"]).where(before).select(*key, word, count, *extra, "canon", "canon_count").distinct()
+    met = keyed.join(other.hint("merge"), [*key, "_near"]).where(before).drop("_near").distinct()
     priced = met.withColumn("cost", cost_udf(word, "canon")).where(F.col("cost") <= most)
     posterior = F.log(F.col("canon_count") + 1.0) - PENALTY * (F.col("cost") - 1.0)
     better = priced.withColumn("score", posterior).where(F.col("score") >= F.log(F.col(count) + 1.0) - PENALTY)
@@ -211,10 +255,17 @@ def channel(forms: DataFrame, key: list[str], word: str, count: str, most: Colum
     return best.select(*key, word, F.col("b.canon").alias("canon"))
 
 
+def certain(offers: DataFrame, form: list[str], candidate: str, weight: str) -> DataFrame:
+    """(form..., candidate): the candidate that holds CERTAIN of the posterior of each form; ``weight`` is frequency times likelihood."""
+    each = offers.groupBy(*form, candidate).agg(F.sum(weight).alias("_w"))
+    best = each.groupBy(*form).agg(F.max(F.struct("_w", candidate)).alias("_b"), F.sum("_w").alias("_all"))
+    return best.where(F.col("_b._w") >= CERTAIN * F.col("_all")).select(*form, F.col(f"_b.{candidate}").alias(candidate))
+
+
 def parsed_names(authors: DataFrame, author_id: str, name: str) -> DataFrame:
     """(id, kind, given, middle, surname, gen, body) of each row, with guessed orders decided by how often a word stands first."""
     rows = authors.where(F.col(author_id).isNotNull()).groupBy(F.col(author_id).cast("long").alias("id")).agg(F.max(name).alias("name"))
-    parsed = cut(rows.select("id", parse_udf("name").alias("p")).select("id", "p.*").where("kind is not null"))
+    parsed = cut(spread(rows, "id").select("id", parse_udf("name").alias("p")).select("id", "p.*").where("kind is not null"))
     firsts = parsed.where("kind = 'person' and length(given) > 1").groupBy(F.col("given").alias("word")).agg(F.countDistinct("surname").alias("n"))
     guess = parsed.where("order = 'guess'")
     weighed = guess.join(firsts.select(F.col("word").alias("first"), F.col("n").alias("n_first")), "first", "left").join(firsts.select(F.col("word").alias("last"), F.col("n").alias("n_last")), "last", "left")
@@ -226,7 +277,7 @@ def parsed_names(authors: DataFrame, author_id: str, name: str) -> DataFrame:
 def canonical_given(people: DataFrame) -> DataFrame:
     """Adds ``g``: the given name with rare spellings attached to frequent or well-known ones."""
     spark = people.sparkSession
-    listed = spark.createDataFrame([(n,) for n in sorted({*NICKNAMES, *SHORT_OF})], "given string").withColumn("listed", F.lit(LISTED))
+    listed = spark.createDataFrame([(n,) for n in sorted({*NICKNAMES, *[short for short, _ in SHORT_OF]})], "given string").withColumn("listed", F.lit(LISTED))
     seen = people.where(F.length("given") > 1).groupBy("given").agg(F.countDistinct("surname").alias("n"))
     given = seen.join(F.broadcast(listed), "given", "full").select("given", (F.coalesce("n", F.lit(0)) + F.coalesce("listed", F.lit(0))).alias("n"), F.col("listed").isNotNull().alias("listed"))
     given = cut(given)
@@ -237,24 +288,23 @@ def canonical_given(people: DataFrame) -> DataFrame:
 
 
 def entities(authors: DataFrame, author_id: str, name: str) -> DataFrame:
-    """(id, entity): rows of one entity share the value; a row alone stands with its own id."""
+    """(id, entity): rows of one entity share the value, the smallest id; a row alone stands with its own id."""
     rows = cut(parsed_names(authors, author_id, name))
-    people = canonical_given(rows.where("kind = 'person'"))
-    people = _named(people).withColumn("i", F.substring("g", 1, 1)).select("id", "g", "i", F.coalesce("middle", F.lit("")).alias("m"), "surname", F.coalesce("gen", F.lit("")).alias("gen"))
-    people = cut(people)
+    people = canonical_given(rows.where("kind = 'person'")).select("id", "g", F.coalesce("middle", F.lit("")).alias("m"), "surname", F.coalesce("gen", F.lit("")).alias("gen"))
+    people = _named(cut(people)).withColumn("key", F.substring("g", 1, 1))
+    bodies = rows.where("kind = 'body'").select("id", F.lit("").alias("g"), F.lit("").alias("m"), "surname", F.lit("").alias("gen"), F.concat(F.lit("body "), "body").alias("key"))
+    named = cut(people.unionByName(bodies))
 
     # a spelling shared by people of several initials is the name of a family, not a slip
-    families = people.where("g <> ''").groupBy("surname").agg(F.countDistinct("i").alias("initials"))
-    forms = people.groupBy("i", "surname").agg(F.count("*").alias("n")).join(families.where("initials > 1"), "surname", "left")
-    forms = forms.select("i", "surname", (F.col("n") + F.coalesce("initials", F.lit(0))).alias("n"), F.col("initials").isNotNull().alias("family"))
-    limit = F.when(F.length("surname") <= 5, 1.0).otherwise(2.0)
-    spelt = channel(cut(forms), ["i"], "surname", "n", F.when(F.col("family"), -1.0).otherwise(limit))
-    people = _settle(people, spelt, ["i"], "surname")
-
-    bodies = rows.where("kind = 'body'").select("id", "surname", "body")
-    body_forms = bodies.groupBy("body", "surname").agg(F.count("*").alias("n"))
-    bodies = _settle(bodies, channel(body_forms, ["body"], "surname", "n", limit), ["body"], "surname")
-    links = _links(people).unionByName(bodies.select("id", F.concat_ws("|", F.lit("body"), "surname", "body").alias("form")))
+    families = named.where("g <> ''").groupBy("surname").agg(F.countDistinct("key").alias("initials")).where("initials > 1")
+    is_body = F.col("key").startswith("body ")
+    forms = named.groupBy("key", "surname").agg(F.count("*").alias("n")).join(families, "surname", "left")
+    forms = forms.select("key", "surname", (F.col("n") + F.when(is_body, 0).otherwise(F.coalesce("initials", F.lit(0)))).alias("n"), F.when(is_body, 1).otherwise(F.coalesce("initials", F.lit(1))).alias("spread"))
+    limit = F.when((F.col("spread") > 1) & (F.col("canon_spread") < FAMILY * F.col("spread")), -1.0).when(F.length("surname") <= 5, 1.0).otherwise(2.0)
+    named = cut(_settle(named, channel(cut(forms), ["key"], "surname", "n", limit), ["key"], "surname"))
+
+    of_bodies = named.where(is_body).select("id", F.concat_ws("|", "key", "surname").alias("form"))
+    links = cut(_links(named.where(~is_body).drop("key")).unionByName(of_bodies))
     first = links.groupBy("form").agg(F.min("id").alias("entity"))
     alone = rows.where("kind = 'two'").select("id", F.col("id").alias("entity"))
     return links.join(first, "form").select("id", "entity").unionByName(alone)
@@ -268,54 +318,53 @@ def _settle(df: DataFrame, attached: DataFrame, key: list[str], word: str) -> Da
 
 
 def _named(people: DataFrame) -> DataFrame:
-    """Nicknames stand for the one full given name of the surname that they fit, or for the only one they can mean."""
-    full = people.where(F.length("g") > 1).select("surname", "g").distinct()
-    shorts = full.select("surname", "g", F.explode(full_names_udf("g")).alias("long"))
-    fits = shorts.join(full.withColumnRenamed("g", "long"), ["surname", "long"]).groupBy("surname", "g").agg(F.countDistinct("long").alias("n"), F.min("long").alias("one"))
-    means = shorts.groupBy("surname", "g").agg(F.min("long").alias("guess"), F.countDistinct("long").alias("n_guess"))
-    named = F.when(F.col("n") == 1, F.col("one")).when(F.col("n").isNull() & (F.col("n_guess") == 1), F.col("guess"))
-    named = means.join(fits, ["surname", "g"], "left").select("surname", "g", named.alias("named"))
-    return people.join(named, ["surname", "g"], "left").withColumn("g", F.coalesce("named", "g")).drop("named")
+    """Nicknames stand for the full name of the greatest posterior among those of the surname and of all names."""
+    shorts = F.broadcast(people.sparkSession.createDataFrame(SHORT_OF, "g string, long string"))
+    full = people.where(F.length("g") > 1).groupBy("surname", "g").agg(F.count("*").alias("n"))
+    means = full.select("surname", "g").join(shorts, "g")
+    here = means.join(full.select("surname", F.col("g").alias("long"), F.col("n")), ["surname", "long"], "left")
+    certainly = certain(here.withColumn("weight", (F.coalesce("n", F.lit(0)) + ELSEWHERE) * SHORT), ["surname", "g"], "long", "weight")
+    return people.join(certainly, ["surname", "g"], "left").withColumn("g", F.coalesce("long", "g")).drop("long")
 
 
 def _links(people: DataFrame) -> DataFrame:
     """(id, form): each person with the full form it stands for."""
     people = cut(_named(people))
-
-    full = people.where(F.length("g") > 1).select("surname", "g", "m", "gen").distinct()
-    # a form without middle initial or generation mark stands for the one fuller form it fits
-    by_middle = full.where("m <> ''").groupBy("surname", "g").agg(F.countDistinct("m").alias("n_m"), F.min("m").alias("one_m"))
-    by_gen = full.where("gen <> ''").groupBy("surname", "g").agg(F.countDistinct("gen").alias("n_gen"), F.min("gen").alias("one_gen"))
-    whole = full.join(by_middle, ["surname", "g"], "left").join(by_gen, ["surname", "g"], "left")
-    whole = whole.select(
-        "surname", "g", "m", "gen",
-        F.when((F.col("m") == "") & (F.col("n_m") == 1), F.col("one_m")).otherwise(F.col("m")).alias("m2"),
-        F.when((F.col("gen") == "") & (F.col("n_gen") == 1), F.col("one_gen")).otherwise(F.col("gen")).alias("gen2"),
-    )
-    whole = cut(whole)
+    forms = people.groupBy("surname", "g", "m", "gen").agg(F.count("*").alias("n"))
+
+    # a form without middle initial or generation mark stands for the one fuller form that it may have been cut from
+    full = cut(forms.where(F.length("g") > 1))
+    longer = full.where(F.length("m") > 1).select("surname", "g", F.col("m").alias("longer"), F.explode(F.sequence(F.lit(1), F.length("m") - 1)).alias("k"), (F.col("n") * DROPPED).alias("w"))
+    longer = certain(longer.withColumn("m", F.expr("left(longer, k)")), ["surname", "g", "m"], "longer", "w")
+    full = cut(full.join(longer, ["surname", "g", "m"], "left").select("surname", "g", F.col("m").alias("typed"), F.coalesce("longer", "m").alias("m"), "gen", "n"))
+    middles = certain(full.where("m <> ''").withColumn("w", F.col("n") * DROPPED), ["surname", "g"], "m", "w").withColumnRenamed("m", "one_m")
+    marks = certain(full.where("gen <> ''").withColumn("w", F.col("n") * DROPPED), ["surname", "g"], "gen", "w").withColumnRenamed("gen", "one_gen")
+    whole = full.join(middles, ["surname", "g"], "left").join(marks, ["surname", "g"], "left")
+    m2 = F.when(F.col("m") == "", F.coalesce("one_m", "m")).otherwise(F.col("m"))
+    gen2 = F.when(F.col("gen") == "", F.coalesce("one_gen", "gen")).otherwise(F.col("gen"))
+    whole = cut(whole.select("surname", "g", F.col("typed").alias("m"), "gen", "n", m2.alias("m2"), gen2.alias("gen2")))
     entity = F.concat_ws("|", "surname", "g", "m2", "gen2")
 
-    # an initial stands for the one full form that it fits, with as much of the rest as is given
-    ends = whole.select("surname", F.substring("g", 1, 1).alias("i"), "g", "m2", "gen2").distinct()
-    short = people.where(F.length("g") <= 1).select("surname", F.col("g").alias("i"), "m", "gen").distinct()
-    middles = F.array_distinct(F.array("m2", F.lit("")))
-    gens = F.array_distinct(F.array("gen2", F.lit("")))
-    offered = ends.select("surname", "i", entity.alias("form"), F.explode(middles).alias("m"), "gen2").select("surname", "i", "form", "m", F.explode(gens).alias("gen"))
-    one = offered.groupBy("surname", "i", "m", "gen").agg(F.countDistinct("form").alias("n"), F.min("form").alias("form"))
-    exact = short.join(one, ["surname", "i", "m", "gen"], "left")
-    # a middle initial that no full form has may still fit one that has none
-    bare = offered.where("m = ''").join(ends.where("m2 = ''").select(entity.alias("form")).distinct(), "form", "left_semi").groupBy("surname", "i", "gen").agg(F.countDistinct("form").alias("n_bare"), F.min("form").alias("bare"))
-    any_form = ends.groupBy("surname").agg(F.countDistinct(entity).alias("n_all"), F.min(entity).alias("all"))
-    fitted = exact.join(bare, ["surname", "i", "gen"], "left").join(any_form, "surname", "left").select(
-        "surname", "i", "m", "gen",
-        F.when(F.col("n") == 1, F.col("form"))
-        .when(F.col("n").isNull() & (F.col("m") != "") & (F.col("n_bare") == 1), F.col("bare"))
-        .when((F.col("i") == "") & (F.col("n_all") == 1), F.col("all"))
-        .otherwise(F.concat_ws("|", F.lit("short"), "surname", "i", "m", "gen")).alias("form"),
-    )
-    long_rows = people.where(F.length("g") > 1).join(whole, ["surname", "g", "m", "gen"]).select("id", entity.alias("form"))
-    short_rows = people.where(F.length("g") <= 1).withColumnRenamed("g", "i").join(fitted, ["surname", "i", "m", "gen"]).select("id", "form")
-    return long_rows.unionByName(short_rows)
+    # what each full form may be cut to: the given name to an initial or nothing, and without middle initials or mark
+    ends = whole.groupBy("surname", "g", "m2", "gen2").agg(F.sum("n").alias("n")).select("surname", F.substring("g", 1, 1).alias("i"), "m2", "gen2", entity.alias("form"), F.col("n").cast("double").alias("n"))
+    part = lambda kept, name: F.struct(kept.alias(name), F.lit(1.0).alias("p"))
+    less = lambda name: F.struct(F.lit("").alias(name), F.lit(DROPPED).alias("p"))
+    starts = F.transform(F.sequence(F.lit(0), F.length("m2")), lambda k: F.struct(F.substr("m2", F.lit(1), k).alias("m"), F.when(k == F.length("m2"), 1.0).otherwise(DROPPED).alias("p"))).cast("array<struct<m:string,p:double>>")
+    m = F.when(F.col("m2") == "", F.array(part(F.lit(""), "m"), F.struct(F.lit("*").alias("m"), F.lit(ADDED).alias("p")))).otherwise(starts)
+    gen = F.when(F.col("gen2") == "", F.array(part(F.lit(""), "gen"))).otherwise(F.array(part(F.col("gen2"), "gen"), less("gen")))
+    offered = ends.select("surname", "form", "n", F.explode(F.array(part(F.col("i"), "i"), less("i"))).alias("i"), m.alias("m"), gen.alias("gen"))
+    offered = offered.select("surname", "form", "n", "i", F.explode("m").alias("m"), "gen").select("surname", "form", "n", "i", "m", F.explode("gen").alias("gen"))
+    offered = offered.select("surname", "i.i", "m.m", "gen.gen", "form", (F.col("n") * F.col("i.p") * F.col("m.p") * F.col("gen.p")).alias("w"))
+
+    # middle initials may also have been added to a form that has none or one
+    short = forms.where(F.length("g") <= 1).select("surname", F.col("g").alias("i"), "m", "gen")
+    typed = F.array(part(F.col("m"), "m"), F.when(F.col("m") != "", part(F.lit("*"), "m")), F.when(F.length("m") > 1, F.struct(F.substring("m", 1, 1).alias("m"), F.lit(ADDED).alias("p"))))
+    typed = F.array_compact(typed.cast("array<struct<m:string,p:double>>"))
+    asked = short.select("surname", "i", F.col("m").alias("typed"), "gen", F.explode(typed).alias("t")).select("surname", "i", "typed", "gen", "t.m", "t.p")
+    fits = certain(asked.join(offered, ["surname", "i", "m", "gen"]).withColumn("w", F.col("w") * F.col("p")), ["surname", "i", "typed", "gen"], "form", "w").withColumnRenamed("typed", "m")
+    fitted = short.join(fits, ["surname", "i", "m", "gen"], "left").withColumn("form", F.coalesce("form", F.concat_ws("|", F.lit("short"), "surname", "i", "m", "gen")))
+    known = whole.select("surname", "g", "m", "gen", entity.alias("form")).unionByName(fitted.withColumnRenamed("i", "g"))
+    return people.join(known, ["surname", "g", "m", "gen"]).select("id", "form")
 
 
 def same_pairs(found: DataFrame, id_a: str, id_b: str) -> DataFrame:

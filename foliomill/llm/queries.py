@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_pairs(entities(table(spark, sf_dir, "author"), "author_id", "name"), "author_id_a", "author_id_b")
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest author_id of its person or body for each author row (membership, without the pairs)."""
+    return entities(table(spark, sf_dir, "author"), "author_id", "name").select(F.col("id").alias("author_id"), F.col("entity").alias("entity_id"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest concept_id of its group for each linked concept."""
     known = table(spark, sf_dir, "concept").select("concept_id").distinct()
@@ -90,6 +95,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_misses": p4_misses,
