@@ -32,3 +32,18 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFram
 
 def degrees(both_ways: DataFrame) -> DataFrame:
     return both_ways.groupBy("src").agg(F.count("*").alias("degree"))
+
+
+def walk(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """(query, node, depth): least number of edges (src, dst) from each query's seeds (query, node), up to ``max_depth``.
+
+    All queries walk at once; a round joins only the newest frontier and drops what its query has seen.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    seen = cut(seeds.select("query", "node", F.lit(0).alias("depth")).distinct())
+    frontier = seen
+    for depth in range(1, max_depth + 1):
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select("query", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["query", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(frontier)
+    return seen
