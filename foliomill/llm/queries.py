@@ -12,7 +12,7 @@ from foliomill.llm.names import entities, same_pairs
 from foliomill.llm.reference_list import match_values
 from foliomill.llm.sentences import split_sentences
 from foliomill.llm.tokens import default_rank_file, encode_corpus
-from foliomill.runtime import table
+from foliomill.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The publisher_ref entry each book's publisher means, or -1."""
     books = table(spark, sf_dir, "book").select("book_id", "publisher", "updated_at").where("book_id is not null")
-    matched = match_values(books, "publisher", table(spark, sf_dir, "publisher_ref"), "publisher_id", "name")
+    # a table of its own, so that the join back can be split where one publisher holds most books
+    matched = cut(match_values(books, "publisher", table(spark, sf_dir, "publisher_ref"), "publisher_id", "name"))
     named = books.join(matched.withColumnRenamed("value", "publisher"), "publisher")
     latest = named.groupBy("book_id").agg(F.max(F.struct("updated_at", "entry")).alias("row"))
     return latest.select("book_id", F.coalesce("row.entry", F.lit(-1)).cast("long").alias("publisher_id"))

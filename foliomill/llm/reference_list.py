@@ -8,10 +8,11 @@ name is looked up under its own deletions, so any pair within the bound meets in
 Met pairs are ranked by weighted Damerau-Levenshtein cost, then by how often the entry was
 typed without a slip. Where several entries share the name, the kind words decide.
 
-The dictionary is broadcast only if its size is proven (``MAX_DICTIONARY_ROWS``); a longer
-list is joined by shuffling. Work is done once per distinct value, so a value typed by a third
-of all rows costs no more than a rare one; the last join back is on the value and can be split
-by AQE.
+The dictionary is broadcast only if it is proven to fit ``MAX_DICTIONARY_BYTES`` (a name has at most
+``KEYS`` keys of ten letters); a longer list is joined by shuffling. Work is done once per distinct
+value, so a value typed by a third of all rows costs no more than a rare one; Python stages are
+spread by the number of their rows. Write the result as a table before joining it back to the rows:
+a join of plain shuffles is split by AQE where one value holds most rows.
 
 Defined results: null and blank values give no row from ``match_values``; values that name no
 entry, or a name shared by several entries without a kind word that decides, give a null
@@ -21,15 +22,16 @@ entry; equal costs go to the entry typed more often without a slip, then the sma
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from foliomill.llm.spelling import deletes, fold, repair, squeeze, typo_cost
-from foliomill.runtime import cut, small_or_shuffled
+from foliomill.runtime import cut, spread
 
 #: Words for the kind of house with their abbreviations (fixed values).
 KINDS = {
@@ -54,7 +56,9 @@ LEADS = re.compile(r"^(?:published by|publ(?:isher)?[.:]|pub\.|c/o|by|imprint of
 YEARS = re.compile(r"\b(?:1[5-9]|20)\d\d\b")
 
 MAX_EDITS = 3
-MAX_DICTIONARY_ROWS = 2_000_000
+MAX_DICTIONARY_BYTES = 64 << 20
+#: Most keys of a name: its first ten letters with up to MAX_EDITS left out.
+KEYS = 1 + 10 + 45 + 120
 HYPOTHESES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("slips", T.DoubleType())]))
 
 
@@ -63,6 +67,7 @@ def allowed(length: int) -> float:
     return 1.0 if length <= 5 else 2.0 if length <= 8 else 3.0
 
 
+@lru_cache(1 << 16)
 def kinds_of(word: str) -> tuple[tuple[str, ...], float]:
     """The kinds that ``word`` may stand for, and the cost of the slips in it."""
     exact = tuple(k for k, forms in KINDS.items() if word in forms)
@@ -141,15 +146,11 @@ def entry_words_udf(names: pd.Series) -> pd.Series:
     return names.map(split)
 
 
-@pandas_udf(T.BooleanType())
-def kind_fits_udf(typed: pd.Series, entry: pd.Series) -> pd.Series:
+def kind_fits(typed: str, entry: str) -> Column:
     """Whether typed kind words (alternatives joined by '|') read as the entry's kind words."""
-
-    def fits(words, kind: str) -> bool:
-        own = kind.split()
-        return len(words) == len(own) and all(o in w.split("|") for w, o in zip(words, own, strict=True))
-
-    return pd.Series([fits(list(t), e) for t, e in zip(typed, entry, strict=True)], dtype="bool")
+    own = F.filter(F.split(entry, " "), lambda x: x != "")
+    each = F.zip_with(typed, own, lambda words, kind: F.array_contains(F.split(words, "[|]"), kind))
+    return (F.size(typed) == F.size(own)) & F.forall(each, lambda x: x)
 
 
 def reference_names(reference: DataFrame, entry_id: str, name: str) -> DataFrame:
@@ -165,20 +166,23 @@ def match_values(values: DataFrame, value: str, reference: DataFrame, entry_id:
     """(value, entry, cost): the entry of ``reference`` each distinct value means, null if none."""
     distinct = cut(values.where(F.trim(F.regexp_replace(F.col(value), r"[\s\x{A0}\x{FEFF}]+", " ")) != "").groupBy(F.col(value).alias("value")).agg(F.count("*").alias("rows")))
     entries = cut(reference_names(reference, entry_id, name))
-    readings = distinct.select("value", "rows", F.explode(hypotheses_udf("value")).alias("h")).select("value", "rows", F.col("h.name").alias("typed"), F.col("h.kinds").alias("kinds"), F.col("h.slips").alias("slips"))
+    readings = spread(distinct, "value").select("value", "rows", F.explode(hypotheses_udf("value")).alias("h")).select("value", "rows", F.col("h.name").alias("typed"), F.col("h.kinds").alias("kinds"), F.col("h.slips").alias("slips"))
     readings = cut(readings)
 
     names = entries.select("name").distinct()
     dictionary = names.select("name", F.explode(all_deletes_udf("name")).alias("left_over"))
-    looked_up = readings.select("typed").distinct().select("typed", F.explode(deletes_udf("typed")).alias("left_over"))
-    met = looked_up.join(small_or_shuffled(dictionary, MAX_DICTIONARY_ROWS), "left_over").select("typed", "name").distinct()
-    near = met.withColumn("cost", cost_udf("typed", "name")).where(F.col("cost") <= F.when(F.least(F.length("typed"), F.length("name")) <= 5, 1.0).when(F.least(F.length("typed"), F.length("name")) <= 8, 2.0).otherwise(3.0))
+    most = names.agg(F.sum(KEYS * (F.octet_length("name") + 72))).first()[0]
+    typed = cut(readings.select("typed").distinct())
+    looked_up = spread(typed, "typed").select("typed", F.explode(deletes_udf("typed")).alias("left_over"))
+    met = cut(looked_up.join(F.broadcast(dictionary) if (most or 0) <= MAX_DICTIONARY_BYTES else dictionary.hint("merge"), "left_over").select("typed", "name").distinct())
+    shorter = F.least(F.length("typed"), F.length("name"))
+    near = cut(spread(met, "typed", "name").withColumn("cost", cost_udf("typed", "name")).where(F.col("cost") <= F.when(shorter <= 5, 1.0).when(shorter <= 8, 2.0).otherwise(3.0)))
     acronyms = entries.where("initials <> ''").groupBy("initials").agg(F.min("entry").alias("entry"), F.countDistinct("entry").alias("n")).where("n = 1")
     short = distinct.where(F.col("value").rlike(r"^\s*[A-Z]{3,6}\.?\s*$")).select("value", F.lower(F.regexp_replace("value", r"[\s.]", "")).alias("initials")).join(acronyms, "initials").select("value", "entry", F.lit(2.0).alias("total"), F.lit(0).alias("usual"))
 
     usual = readings.join(names.withColumnRenamed("name", "typed"), "typed", "left_semi").groupBy(F.col("typed").alias("name")).agg(F.sum("rows").alias("usual"))
     ranked = readings.join(near, "typed").join(entries, "name").join(usual, "name", "left")
-    fits = ranked.where(~F.col("shared") | kind_fits_udf("kinds", "kind"))
+    fits = ranked.where(~F.col("shared") | kind_fits("kinds", "kind"))
     scored = fits.select("value", "entry", (F.col("cost") + F.col("slips")).alias("total"), F.coalesce("usual", F.lit(0)).alias("usual")).unionByName(short)
     best = scored.groupBy("value").agg(F.min(F.struct("total", (-F.col("usual")).alias("u"), "entry")).alias("b"))
     return distinct.join(best, "value", "left").select("value", F.col("b.entry").alias("entry"), F.col("b.total").alias("cost"))
