@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 #: Patterns of personal identifiers, in reporting order (fixed values).
 PHI_PATTERNS = (
-    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
-    ("phone", r"\b\d{3}[-.]\d{3}[-.]\d{4}\b"),
+    ("ssn", r"\b(?!000|666|9\d{2})\d{3}-?(?!00)\d{2}-?(?!0000)\d{4}\b"),
+    ("phone", r"(?:\+?1[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.-]\d{3}[\s.-]\d{4}\b"),
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-    ("iso_date", r"\b\d{4}-\d{2}-\d{2}\b"),
-    ("mrn_like", r"\b[A-Z]{2,3}\d{6,10}\b"),
+    ("iso_date", r"\b(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b"),
+    ("mrn_like", r"\b\d{12,}\b"),
+)
+
+#: Shapes of typed dates and their forms (fixed values).
+FORMS = (
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{14}$", "yyyyMMddHHmmss"),
+    (r"^\d{12}$", "yyyyMMddHHmm"),
 )
 
 
@@ -49,10 +60,26 @@ def age_band(born: Column, at: Column, size: int = 5) -> Column:
 
 
 def truncate_zip(zip_code: Column, allowed: list[str] | None = None) -> Column:
-    """First three digits plus '**'; '00000' where an allow-list is given and does not hold them."""
-    three = F.substring(F.regexp_replace(zip_code, r"\D", ""), 1, 3)
-    short = F.when(F.length(three) == 3, F.concat(three, F.lit("**")))
-    return short if allowed is None else F.when(three.isin(allowed), short).otherwise("00000")
+    """The first three digits where the allow-list holds them, else null; null for all without a list."""
+    three = F.substring(F.regexp_replace(zip_code, "[^0-9]", ""), 1, 3)
+    return F.when(three.isin(allowed), three) if allowed else F.lit(None).cast("string")
+
+
+def year_only(date: Column) -> Column:
+    """The year of a typed date (2024-05-06, 20240506, 2024-05 or 2024); null for anything else."""
+    return F.regexp_extract(F.regexp_extract(date, r"^\s*((?:19|20)\d{2})(?:-?(?:0[1-9]|1[0-2])(?:-?(?:0[1-9]|[12]\d|3[01])(?:[T ].*)?)?)?\s*$", 1), r"^(\d{4})$", 0).cast("int")
+
+
+def shifted(date: Column, days: Column) -> Column:
+    """A typed date moved by ``days``, in the form it was typed in; null where no form fits.
+
+    Forms: 2024-05-06, 20240506, 05/06/2024, 2024-05-06T10:20:30, 2024-05-06 10:20:30, 20240506102030 and 202405061020.
+    """
+    out = F.lit(None).cast("string")
+    for shape, form in FORMS:
+        moved = F.try_to_timestamp(date, F.lit(form)) + F.make_interval(days=days)
+        out = F.when(date.rlike(shape), F.date_format(moved, form)).otherwise(out)
+    return out
 
 
 def k_anonymize(df: DataFrame, quasi: list[str], k: int = 5) -> DataFrame:

@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Segments each message type must hold (fixed values).
-REQUIRED = {"ADT": ("MSH", "PID"), "ORU": ("MSH", "PID", "OBR", "OBX"), "ORM": ("MSH", "PID", "ORC")}
+REQUIRED = {
+    "ADT^A01": ("MSH", "EVN", "PID", "PV1"),
+    "ADT^A03": ("MSH", "EVN", "PID", "PV1"),
+    "ADT^A08": ("MSH", "EVN", "PID", "PV1"),
+    "ORU^R01": ("MSH", "PID", "OBR", "OBX"),
+}
 
 
 def hl7_segments(message: Column) -> Column:
@@ -23,7 +28,7 @@ def hl7_field(message: Column, segment: str, index: int, occurrence: int = 1) ->
 
 def hl7_missing(message: Column) -> Column:
     """Required segments that the message lacks; null for a type that is not known."""
-    kind = F.split(hl7_field(message, "MSH", 9), r"\^")[0]
+    kind = F.array_join(F.slice(F.split(hl7_field(message, "MSH", 9), r"\^"), 1, 2), "^")
     there = F.transform(hl7_segments(message), lambda s: F.get(s, F.lit(0)))
     out = F.lit(None).cast("array<string>")
     for name, needed in REQUIRED.items():

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in a query (fixed values).
-STOPWORDS = tuple("a an and are as at be by can do does for from how in into is it its of on or should that the this to use using vs was what when where which who why will with you your".split())
+#: Words that carry no meaning in a title or query (fixed values).
+STOPWORDS = (
+    "a", "an", "and", "as", "at", "be", "by", "do", "for", "from",
+    "how", "in", "is", "it", "its", "of", "on", "or", "that", "the",
+    "this", "to", "vs", "what", "when", "where", "why", "with", "your",
+)
+#: Words that the full-text index leaves out, beside those.
+INDEX_STOPWORDS = (*STOPWORDS, "are", "can", "does", "into", "should", "use", "using", "was", "which", "who", "will", "you")
 #: Upper-case words that are no acronyms (fixed values).
-NOT_ACRONYMS = ("AND", "OR", "NOT", "THE", "FOR", "WITH", "HOW", "WHAT", "WHY", "IS")
+NOT_ACRONYMS = (
+    "AND", "OR", "OF", "TO", "IN", "AT", "BY", "IS",
+    "IT", "AS", "ON", "AN", "DO", "BE", "GO", "I", "A",
+    "THE", "FOR", "NEW", "THIS", "WITH",
+)
 
 
 def significant_tokens(text: Column) -> Column:
@@ -20,7 +30,7 @@ def significant_tokens(text: Column) -> Column:
 def index_terms(text: Column) -> Column:
     """Terms of the full-text index: lower-case runs of letters; digits separate."""
     terms = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
-    return F.filter(terms, lambda t: ~t.isin(*STOPWORDS))
+    return F.filter(terms, lambda t: ~t.isin(*INDEX_STOPWORDS))
 
 
 def acronyms(text: Column) -> Column:

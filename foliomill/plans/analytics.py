@@ -37,12 +37,27 @@ def a13_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a17_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict majority of the samples that voted; CONTRADICTS and SUPERSEDED are pooled."""
-    votes = table(spark, sf_dir, "alignment_vote").where("alignment_edge_id is not null").groupBy("alignment_edge_id", "sample").agg(F.max(F.struct("created_at", "verdict")).alias("row"))
-    pooled = F.when(F.col("row.verdict").isin("CONTRADICTS", "SUPERSEDED"), "CONTRADICTS").otherwise(F.col("row.verdict"))
-    counts = votes.groupBy("alignment_edge_id").agg(F.count("*").alias("n_samples"), F.count_if(pooled == "CORROBORATES").alias("n_for"), F.count_if(pooled == "CONTRADICTS").alias("n_against"))
-    verdict = F.when(F.col("n_for") * 2 > F.col("n_samples"), "CORROBORATES").when(F.col("n_against") * 2 > F.col("n_samples"), "CONTRADICTS").otherwise("UNRELATED")
-    return counts.select("alignment_edge_id", "n_samples", "n_for", "n_against", verdict.alias("verdict"))
+    """Decision of each edge by a strict majority of the planned samples.
+
+    Every sample of an edge was planned; values that are no vote count for nothing. CONTRADICTS and SUPERSEDED
+    are one side, and the larger of the two names the verdict. Confidence is the winners' mean times their share.
+    """
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl("confidence", F.lit(0.0)), F.lit(0.0))))
+    rows = table(spark, sf_dir, "alignment_vote").where("alignment_edge_id is not null").select("alignment_edge_id", "sample", F.struct("created_at", "verdict", sure.alias("confidence")).alias("row"))
+    latest = rows.groupBy("alignment_edge_id", "sample").agg(F.max("row").alias("row")).select("alignment_edge_id", label_index(F.col("row.verdict")).alias("label"), "row.confidence")
+    side = {"for": F.col("label") == 0, "against": F.col("label").isin(1, 2), "apart": F.col("label") == 3}
+    counts = latest.groupBy("alignment_edge_id").agg(
+        F.count("*").alias("n_samples"),
+        F.count("label").alias("n_votes"),
+        F.count_if(F.col("label") == 2).alias("n_superseded"),
+        *[F.count_if(test).alias(f"n_{name}") for name, test in side.items()],
+        *[F.coalesce(F.sum(F.when(test, F.col("confidence").cast("decimal(20,9)"))), F.lit(0)).cast("double").alias(f"c_{name}") for name, test in side.items()],
+    )
+    most = {name: F.col(f"n_{name}") * 2 > F.col("n_samples") for name in side}
+    against = F.when(F.col("n_superseded") * 2 > F.col("n_against"), "SUPERSEDED").otherwise("CONTRADICTS")
+    decision = F.when(F.col("n_votes") == 0, "NO_DATA").when(most["for"], "CORROBORATES").when(most["against"], against).when(most["apart"], "UNRELATED").otherwise("NO_MAJORITY")
+    won = F.when(most["for"], F.col("c_for")).when(most["against"], F.col("c_against")).when(most["apart"], F.col("c_apart")).otherwise(0.0)
+    return counts.select("alignment_edge_id", "n_samples", "n_votes", "n_for", "n_against", decision.alias("verdict"), F.round(won / F.col("n_samples"), 3).alias("confidence"))
 
 
 def a17_majority_of_spelt_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +70,11 @@ def a17_majority_of_spelt_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a18_edge_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the majority means for each stored edge: keep, update or delete."""
-    return _edge_actions(spark, sf_dir, a17_majority_vote(spark, sf_dir))
+    """What the decision means for each stored edge: update to a relation, delete, or keep where nothing was decided."""
+    rows = table(spark, sf_dir, "alignment_edge").select("alignment_edge_id", "relation_type").distinct().join(a17_majority_vote(spark, sf_dir).select("alignment_edge_id", "verdict"), "alignment_edge_id")
+    action = F.when(F.col("verdict").isin("CONTRADICTS", "SUPERSEDED", "CORROBORATES"), "update").when(F.col("verdict") == "UNRELATED", "delete").otherwise("keep")
+    relation = F.when(F.col("verdict").isin("CONTRADICTS", "SUPERSEDED"), "CONTRADICTS").when(F.col("verdict") == "CORROBORATES", "CORROBORATES")
+    return rows.select("alignment_edge_id", "relation_type", action.alias("action"), relation.alias("new_relation"))
 
 
 def a18_actions_of_spelt_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,14 +218,19 @@ def t_first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LK = "lk AS (SELECT book_id, author_id, min(position) AS position FROM book_author WHERE book_id IS NOT NULL AND author_id IS NOT NULL GROUP BY ALL)"
 _GR = "gr AS (SELECT concept_id_a AS src, concept_id_b AS dst FROM concept_match WHERE concept_id_a <> concept_id_b UNION SELECT concept_id_b, concept_id_a FROM concept_match WHERE concept_id_a <> concept_id_b)"
-_MV = """vt AS (SELECT alignment_edge_id, sample, CASE WHEN verdict IN ('CONTRADICTS', 'SUPERSEDED') THEN 'CONTRADICTS' ELSE verdict END AS v FROM alignment_vote WHERE alignment_edge_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY alignment_edge_id, sample ORDER BY created_at DESC NULLS LAST, verdict DESC NULLS LAST) = 1),
-mc AS (SELECT alignment_edge_id, count(*) AS n_samples, count(*) FILTER (v = 'CORROBORATES') AS n_for, count(*) FILTER (v = 'CONTRADICTS') AS n_against FROM vt GROUP BY 1),
-mv AS (SELECT *, CASE WHEN n_for * 2 > n_samples THEN 'CORROBORATES' WHEN n_against * 2 > n_samples THEN 'CONTRADICTS' ELSE 'UNRELATED' END AS verdict FROM mc)"""
+_MV = """vt AS (SELECT alignment_edge_id, regexp_replace(upper(verdict), '[^A-Z]', '', 'g') AS u, greatest(0, least(1, coalesce(confidence, 0))) AS c FROM alignment_vote WHERE alignment_edge_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY alignment_edge_id, sample ORDER BY created_at DESC NULLS LAST, verdict DESC NULLS LAST, confidence DESC NULLS LAST) = 1),
+vl AS (SELECT alignment_edge_id, c, CASE WHEN u LIKE 'CORROBORAT%' THEN 'F' WHEN u LIKE 'CONTRADICT%' THEN 'C' WHEN u LIKE 'SUPERSED%' THEN 'S' WHEN u LIKE 'UNRELATED%' OR u LIKE 'NOTRELATED%' THEN 'U' END AS l FROM vt),
+mc AS (SELECT alignment_edge_id, count(*) AS n_samples, count(l) AS n_votes, count(*) FILTER (l = 'F') AS n_for, count(*) FILTER (l IN ('C', 'S')) AS n_against, count(*) FILTER (l = 'S') AS n_sup, count(*) FILTER (l = 'U') AS n_un,
+  coalesce(sum(CAST(c AS DECIMAL(20, 9))) FILTER (l = 'F'), 0) AS cf, coalesce(sum(CAST(c AS DECIMAL(20, 9))) FILTER (l IN ('C', 'S')), 0) AS ca, coalesce(sum(CAST(c AS DECIMAL(20, 9))) FILTER (l = 'U'), 0) AS cu FROM vl GROUP BY 1),
+mv AS (SELECT alignment_edge_id, n_samples, n_votes, n_for, n_against, CASE WHEN n_votes = 0 THEN 'NO_DATA' WHEN n_for * 2 > n_samples THEN 'CORROBORATES' WHEN n_against * 2 > n_samples THEN CASE WHEN n_sup > n_against - n_sup THEN 'SUPERSEDED' ELSE 'CONTRADICTS' END WHEN n_un * 2 > n_samples THEN 'UNRELATED' ELSE 'NO_MAJORITY' END AS verdict,
+  round(CAST(CASE WHEN n_for * 2 > n_samples THEN cf WHEN n_against * 2 > n_samples THEN ca WHEN n_un * 2 > n_samples THEN cu ELSE 0 END AS DOUBLE) / n_samples, 3) AS confidence FROM mc)"""
 _SV = """st AS (SELECT alignment_edge_id, regexp_replace(upper(verdict), '[^A-Z]', '', 'g') AS u FROM alignment_vote WHERE alignment_edge_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY alignment_edge_id, sample ORDER BY created_at DESC NULLS LAST, verdict DESC NULLS LAST) = 1),
 sc AS (SELECT alignment_edge_id, count(*) AS n_samples, count(*) FILTER (u LIKE 'CORROBORAT%') AS n_for, count(*) FILTER (u LIKE 'CONTRADICT%' OR u LIKE 'SUPERSED%') AS n_against FROM st
   WHERE u LIKE 'CORROBORAT%' OR u LIKE 'CONTRADICT%' OR u LIKE 'SUPERSED%' OR u LIKE 'UNRELATED%' OR u LIKE 'NOTRELATED%' GROUP BY 1),
 sv AS (SELECT *, CASE WHEN n_for * 2 > n_samples THEN 'CORROBORATES' WHEN n_against * 2 > n_samples THEN 'CONTRADICTS' ELSE 'UNRELATED' END AS verdict FROM sc)"""
-_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_STOP = "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'can', 'do', 'does', 'for', 'from', 'how', 'in', 'into', 'is', 'it', 'its', 'of', 'on', 'or', 'should', 'that', 'the', 'this', 'to', 'use', 'using', 'vs', 'was', 'what', 'when', 'where', 'which', 'who', 'why', 'will', 'with', 'you', 'your'"
+_TITLE_STOP = "'a', 'an', 'and', 'as', 'at', 'be', 'by', 'do', 'for', 'from', 'how', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'vs', 'what', 'when', 'where', 'why', 'with', 'your'"
+_NO_ACRONYM = "'AND', 'OR', 'OF', 'TO', 'IN', 'AT', 'BY', 'IS', 'IT', 'AS', 'ON', 'AN', 'DO', 'BE', 'GO', 'I', 'A', 'THE', 'FOR', 'NEW', 'THIS', 'WITH'"
 
 QUERIES = {
     f.__name__: f
@@ -232,7 +255,7 @@ p AS (SELECT *, lead(parent_chapter_id) OVER w AS nx, lead(book_id) OVER w AS mo
 g AS (SELECT book_id, count(*) AS n_versions, count(*) FILTER (more IS NOT NULL AND nx IS DISTINCT FROM parent_chapter_id) AS n_moves FROM p GROUP BY 1) SELECT *, round(n_moves * ln(n_versions + 1), 6) AS volatility FROM g WHERE n_moves > 0""",
     "a17_majority_vote": f"WITH {_MV} SELECT * FROM mv",
     "a18_edge_actions": f"""WITH {_MV}, e AS (SELECT DISTINCT alignment_edge_id, relation_type FROM alignment_edge)
-SELECT CASE WHEN verdict IS NULL OR verdict = relation_type THEN 'keep' WHEN verdict = 'UNRELATED' THEN 'delete' ELSE 'update' END AS action, relation_type, count(*) AS n FROM e LEFT JOIN mv USING (alignment_edge_id) GROUP BY 1, 2""",
+SELECT alignment_edge_id, relation_type, CASE WHEN verdict IN ('CONTRADICTS', 'SUPERSEDED', 'CORROBORATES') THEN 'update' WHEN verdict = 'UNRELATED' THEN 'delete' ELSE 'keep' END AS action, CASE WHEN verdict IN ('CONTRADICTS', 'SUPERSEDED') THEN 'CONTRADICTS' WHEN verdict = 'CORROBORATES' THEN 'CORROBORATES' END AS new_relation FROM e JOIN mv USING (alignment_edge_id)""",
     "a17_majority_of_spelt_votes": f"WITH {_SV} SELECT * FROM sv",
     "a18_actions_of_spelt_votes": f"""WITH {_SV}, e AS (SELECT DISTINCT alignment_edge_id, relation_type FROM alignment_edge)
 SELECT CASE WHEN verdict IS NULL OR verdict = relation_type THEN 'keep' WHEN verdict = 'UNRELATED' THEN 'delete' ELSE 'update' END AS action, relation_type, count(*) AS n FROM e LEFT JOIN sv USING (alignment_edge_id) GROUP BY 1, 2""",
@@ -254,8 +277,8 @@ SELECT CASE WHEN verdict IS NULL OR verdict = relation_type THEN 'keep' WHEN ver
     "r28_acronym_pairs": f"WITH {CONCEPTS}, l AS (SELECT concept_id AS long_id, string_split(name, ' ') AS ws FROM co WHERE regexp_full_match(name, '[A-Za-z]+( [A-Z][a-z]+){{2,4}}')), m AS (SELECT long_id, ws[1] || ' ' || list_aggregate(list_transform(ws[2:], lambda x: x[1]), 'string_agg', '') AS key FROM l), s AS (SELECT concept_id AS short_id, name AS key FROM co WHERE regexp_full_match(name, '[A-Za-z]+ [A-Z]{{2,4}}')) SELECT short_id, long_id, key FROM s JOIN m USING (key)",
     "d_domain_rollup": f"WITH {CONCEPTS} SELECT domain, concept_type, count(*) AS n, count(*) FILTER (pending_review) AS n_pending, CAST(sum(query_count) AS BIGINT) AS queries, CAST(grouping_id(domain, concept_type) AS BIGINT) AS level FROM co GROUP BY ROLLUP (domain, concept_type)",
     "u_unit_metadata": "WITH u AS (SELECT * FROM generated_unit WHERE unit_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY created_at DESC NULLS LAST) = 1), k AS (SELECT unit_type, CASE WHEN metadata_json IS NULL OR NOT json_valid(metadata_json) THEN [NULL] WHEN len(json_keys(metadata_json)) = 0 THEN [NULL] ELSE json_keys(metadata_json) END AS ks FROM u), e AS (SELECT unit_type, unnest(ks) AS key FROM k) SELECT unit_type, key, count(*) AS n FROM e GROUP BY 1, 2",
-    "t_title_tokens": f"WITH {CHAPTERS}, t AS (SELECT DISTINCT chapter_id, unnest(list_filter(list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9_-]+'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP}))) AS token FROM ch) SELECT token, count(*) AS df, round(ln(1 + (SELECT count(*) FROM ch) / (1 + count(*))), 6) AS weight FROM t GROUP BY token",
-    "t_acronyms": "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{1,5})\\b', 1))) AS acronym FROM documents) SELECT acronym, count(*) AS n_documents FROM t WHERE acronym NOT IN (" + ", ".join(f"'{w}'" for w in X.NOT_ACRONYMS) + ") GROUP BY 1",
+    "t_title_tokens": f"WITH {CHAPTERS}, t AS (SELECT DISTINCT chapter_id, unnest(list_filter(list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9_-]+'), lambda x: lower(x)), lambda x: x NOT IN ({_TITLE_STOP}))) AS token FROM ch) SELECT token, count(*) AS df, round(ln(1 + (SELECT count(*) FROM ch) / (1 + count(*))), 6) AS weight FROM t GROUP BY token",
+    "t_acronyms": "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{1,5})\\b', 1))) AS acronym FROM documents) SELECT acronym, count(*) AS n_documents FROM t WHERE acronym NOT IN (" + _NO_ACRONYM + ") GROUP BY 1",
     "t_slugs": f"WITH {CONCEPTS}, s AS (SELECT concept_id, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM co WHERE name IS NOT NULL) SELECT slug, count(*) AS n, min(concept_id) AS first_id FROM s GROUP BY 1 HAVING count(*) > 1",
     "t_first_sentences": f"WITH {CHAPTERS} SELECT chapter_id, CAST(length(trim(regexp_extract(content, '^\\s*([^.!?\\n]+[.!?]?)', 1))) AS INTEGER) AS n_chars FROM ch",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -32,14 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one is set only where the session names none."""
+    """The shared checkpoint folder of the session.
+
+    A local session that names none (as in tests) gets a temporary one; a cluster must name a folder
+    that all its machines share. The folder of this run is deleted when the program ends.
+    """
     context = spark.sparkContext
     jvm_dir = context._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get()
     named = context.getConf().get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return context._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(named)
+    folder = context._jsc.sc().getCheckpointDir().get()
+    atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,9 +77,7 @@ def release(df: DataFrame) -> None:
     """Deletes the table behind a result of ``cut`` that no later plan reads (older rounds of a loop)."""
     path = getattr(df, "_cut_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def spread(df: DataFrame, *keys: str, rows_per_task: int = 20_000) -> DataFrame:

@@ -36,8 +36,20 @@ def test_age_band(spark, born, band):
 
 
 def test_zip(spark):
-    assert one(spark, deid.truncate_zip(F.col("z")), z="12345-6789") == "123**"
-    assert one(spark, deid.truncate_zip(F.col("z"), ["999"]), z="12345") == "00000"
+    assert one(spark, deid.truncate_zip(F.col("z"), ["123"]), z="12345-6789") == "123"
+    assert one(spark, deid.truncate_zip(F.col("z"), ["999"]), z="12345") is None
+    assert one(spark, deid.truncate_zip(F.col("z")), z="12345") is None
+
+
+@pytest.mark.parametrize(("typed", "moved", "year"), [("2024-05-30", "2024-06-09", 2024), ("20240530", "20240609", 2024), ("05/30/2024", "06/09/2024", None), ("2024-05-30T10:20:30", "2024-06-09T10:20:30", 2024), ("20240530102030", "20240609102030", None), ("202405301020", "202406091020", None), ("2024", None, 2024), ("soon", None, None), (None, None, None)])
+def test_typed_dates(spark, typed, moved, year):
+    assert one(spark, deid.shifted(F.col("d"), F.lit(10)), d=typed) == moved
+    assert one(spark, deid.year_only(F.col("d")), d=typed) == year
+
+
+def test_phi_patterns(spark):
+    found = one(spark, deid.phi_matches(F.col("t")), t="123-45-6789 900-12-3456 000-12-3456 (555) 010-1234 +1 555.010.1234 a@b.example 2024-02-30 2024-13-01 123456789012")
+    assert [(m.kind, m.match) for m in found] == [("ssn", "123-45-6789"), ("phone", "(555) 010-1234"), ("phone", "+1 555.010.1234"), ("email", "a@b.example"), ("iso_date", "2024-02-30"), ("mrn_like", "123456789012")]
 
 
 def test_k_anonymity_counts_nulls_as_a_value(spark):
@@ -53,8 +65,9 @@ def test_hl7(spark):
     assert one(spark, messages.hl7_field(F.col("m"), "MSH", 2), m=HL7) == "^~\\&"
     assert one(spark, messages.hl7_field(F.col("m"), "OBX", 3, 2), m=HL7) == "b"
     assert one(spark, messages.hl7_field(F.col("m"), "PV1", 3), m=HL7) is None
-    assert one(spark, messages.hl7_missing(F.col("m")), m=HL7) == []
-    assert one(spark, messages.hl7_missing(F.col("m")), m=HL7.replace("ADT", "ORU")) == ["OBR"]
+    assert one(spark, messages.hl7_missing(F.col("m")), m=HL7) == ["EVN", "PV1"]
+    assert one(spark, messages.hl7_missing(F.col("m")), m=HL7.replace("ADT^A01", "ORU^R01")) == ["OBR"]
+    assert one(spark, messages.hl7_missing(F.col("m")), m=HL7.replace("ADT^A01", "ZZZ")) is None
     assert one(spark, messages.hl7_build(messages.hl7_segments(F.col("m"))), m=HL7) == HL7
 
 
@@ -104,7 +117,7 @@ def test_neighborhood(spark):
 
 
 def test_text(spark):
-    assert one(spark, text.significant_tokens(F.col("t")), t="How to use The data-mesh and data-mesh 2") == ["data-mesh", "data-mesh"]
+    assert one(spark, text.significant_tokens(F.col("t")), t="How to use The data-mesh and data-mesh 2") == ["use", "data-mesh", "data-mesh"]
     assert one(spark, text.acronyms(F.col("t")), t="CDC AND HL7 in CDC, Abc") == ["CDC", "HL7"]
     assert one(spark, text.slug(F.col("t")), t=" A b--C! ") == "a-b-c"
     assert one(spark, text.clean_title(F.col("t"), "none"), t="Guide-9781234567897") == "Guide"
@@ -130,9 +143,11 @@ def test_stream_windows(spark, tmp_path):
 def test_spelt_votes(spark, tmp_path):
     votes = ["Corroborates", "CORROBORATES.", "corroborated", "contradiction", "not related", "no idea", None]
     rows = [(1, k, v) for k, v in enumerate(votes)] + [(2, 0, "?"), (3, 0, "superseded"), (3, 1, "Contradicts!"), (3, 2, "UNRELATED")]
-    spark.createDataFrame(rows, "alignment_edge_id long, sample int, verdict string").selectExpr("*", "timestamp_ntz'2025-01-01' AS created_at").write.parquet(f"{tmp_path}/alignment_vote.parquet")
+    spark.createDataFrame(rows, "alignment_edge_id long, sample int, verdict string").selectExpr("*", "0.5D as confidence", "timestamp_ntz'2025-01-01' AS created_at").write.parquet(f"{tmp_path}/alignment_vote.parquet")
     spark.createDataFrame([(1, "CORROBORATES"), (2, "CONTRADICTS"), (3, "CORROBORATES")], "alignment_edge_id long, relation_type string").write.parquet(f"{tmp_path}/alignment_edge.parquet")
     found = analytics.a17_majority_of_spelt_votes(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == [(1, 5, 3, 1, "CORROBORATES"), (3, 3, 0, 2, "CONTRADICTS")]
+    decided = analytics.a17_majority_vote(spark.read.parquet(f"{tmp_path}/alignment_vote.parquet").sparkSession, str(tmp_path)).drop("n_for", "n_against").collect()
+    assert sorted(map(tuple, decided)) == [(1, 7, 5, "NO_MAJORITY", 0.0), (2, 1, 0, "NO_DATA", 0.0), (3, 3, 3, "CONTRADICTS", 0.333)]
     actions = analytics.a18_actions_of_spelt_votes(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, actions)) == [("keep", "CONTRADICTS", 1), ("keep", "CORROBORATES", 1), ("update", "CORROBORATES", 1)]
