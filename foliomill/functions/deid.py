@@ -67,7 +67,8 @@ def truncate_zip(zip_code: Column, allowed: list[str] | None = None) -> Column:
 
 def year_only(date: Column) -> Column:
     """The year of a typed date (2024-05-06, 20240506, 2024-05 or 2024); null for anything else."""
-    return F.regexp_extract(F.regexp_extract(date, r"^\s*((?:19|20)\d{2})(?:-?(?:0[1-9]|1[0-2])(?:-?(?:0[1-9]|[12]\d|3[01])(?:[T ].*)?)?)?\s*$", 1), r"^(\d{4})$", 0).cast("int")
+    shape = r"^\s*((?:19|20)\d{2})(?:-?(?:0[1-9]|1[0-2])(?:-?(?:0[1-9]|[12]\d|3[01])(?:[T ].*)?)?)?\s*$"
+    return F.nullif(F.regexp_extract(date, shape, 1), F.lit("")).cast("int")
 
 
 def shifted(date: Column, days: Column) -> Column:

@@ -22,6 +22,14 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("concept_id").alias("query"), F.explode(X.index_terms(F.col("name"))).alias("term")).distinct()
 
 
+def chapter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.versions(table(spark, sf_dir, "chapter"), "chapter_id", F.col("indexed_at"), F.col("content"))
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.versions(table(spark, sf_dir, "documents"), "doc_id", None, F.concat_ws(" ", "title", "text"))
+
+
 def r01_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and term frequency of each term of the chapter index."""
     index = R.postings(chapters(spark, sf_dir, "content"), "chapter_id", F.col("content"))
@@ -30,14 +38,12 @@ def r01_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r03_bm25_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best chapters of each query by BM25 over the content."""
-    index = R.postings(chapters(spark, sf_dir, "content"), "chapter_id", F.col("content"))
-    return R.bm25(index, asked(spark, sf_dir), TOP)
+    return R.bm25(chapter_texts(spark, sf_dir), asked(spark, sf_dir), TOP)
 
 
 def r04_bm25_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best documents of each query by BM25 over title and text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "title", "text").alias("body"))
-    return R.bm25(R.postings(docs, "doc_id", F.col("body")), asked(spark, sf_dir), TOP)
+    return R.bm25(document_texts(spark, sf_dir), asked(spark, sf_dir), TOP)
 
 
 def r06_vss(spark: SparkSession, sf_dir: str) -> DataFrame:

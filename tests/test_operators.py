@@ -82,7 +82,11 @@ def test_x12(spark):
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "apple pear apple"), (2, "pear"), (3, None), (4, "kiwi 9 plum")], "d long, t string")
     queries = spark.createDataFrame([(9, "apple"), (9, "missing")], "query long, term string")
-    got = retrieval.bm25(retrieval.postings(docs, "d", F.col("t")), queries, 5).collect()
+    # the last version of a doc counts, equal rows once
+    old = spark.createDataFrame([(1, "apple apple apple", 1), (1, "apple pear apple", 2), (1, "apple pear apple", 2), (2, "apple", None), (2, "pear", 1), (3, None, 1), (4, "kiwi 9 plum", None)], "d long, t string, v int")
+    again = retrieval.bm25(retrieval.versions(old, "d", F.col("v"), F.col("t")), queries, 5).collect()
+    got = retrieval.bm25(retrieval.versions(docs, "d", None, F.col("t")), queries, 5).collect()
+    assert again == got
     idf = math.log((3 - 1 + 0.5) / 1.5 + 1)
     assert [(r.query, r.doc, r["rank"]) for r in got] == [(9, 1, 1)]
     assert got[0].score == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2)), abs=1e-6)
