@@ -66,3 +66,57 @@ def token_in_title(title: Column, token: Column) -> Column:
     """Substring test that also accepts the singular of a longer plural."""
     singular = (F.length(token) > 4) & token.endswith("s") & F.contains(F.lower(title), F.regexp_replace(token, "s$", ""))
     return F.contains(F.lower(title), token) | singular
+
+
+#: Authority of publishers by normalised name (fixed values).
+AUTHORITY = {
+    "o'reilly": 0.85,
+    "o'reilly media": 0.85,
+    "manning": 0.85,
+    "manning publications": 0.85,
+    "pragmatic bookshelf": 0.80,
+    "pragmatic programmers": 0.80,
+    "addison-wesley": 0.80,
+    "addison-wesley professional": 0.80,
+    "pearson": 0.78,
+    "pearson education": 0.78,
+    "morgan kaufmann": 0.80,
+    "mit press": 0.85,
+    "no starch press": 0.78,
+    "apress": 0.72,
+    "wiley": 0.72,
+    "john wiley & sons": 0.72,
+    "wiley & sons": 0.72,
+    "wrox": 0.68,
+    "packt": 0.65,
+    "elsevier": 0.78,
+    "ft press": 0.70,
+    "morgan kaufmann publishers": 0.80,
+    "academic press": 0.78,
+    "mcgraw-hill": 0.78,
+    "mcgraw hill": 0.78,
+    "mcgraw-hill education": 0.78,
+    "mcgraw-hill companies": 0.78,
+    "crc press": 0.75,
+    "taylor & francis": 0.75,
+    "taylor & francis group": 0.75,
+    "sas institute": 0.70,
+    "sas press": 0.70,
+    "jossey-bass": 0.72,
+    "pearson education india": 0.74,
+    "pearson education india services": 0.74,
+}
+#: Authority of other publishers (fixed value).
+DEFAULT_AUTHORITY = 0.6
+#: Legal forms and words for the kind of house at the end of a publisher's name.
+_FORMS = r"([,\s]+(inc|incorporated|co|company|ltd|limited|llc|llp|pvt|private|plc|gmbh|sa)\.?)+\s*$"
+_HOUSES = r"([,\s]+(publishing|publisher|publishers|publications|press|books|media)\.?)+\s*$"
+
+
+def authority(publisher: Column, known: dict[str, float] | None = None) -> Column:
+    """Authority of a publisher: its name as typed, else without legal forms, else without the word for its kind."""
+    table = AUTHORITY if known is None else known
+    plain = F.regexp_replace(F.translate(F.lower(F.trim(publisher)), "’‘“”", "''\"\""), "^the ", "")
+    names = [plain, F.regexp_replace(plain, _FORMS, ""), F.regexp_replace(F.regexp_replace(plain, _FORMS, ""), _HOUSES, "")]
+    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(*[F.try_element_at(lookup, n) for n in names], F.lit(DEFAULT_AUTHORITY))
