@@ -103,6 +103,8 @@ SHORT_OF = [(short, full) for full, shorts in NICKNAMES.items() for short in sho
 
 #: Spellings differ by at most so many edits.
 MAX_EDITS = 2
+#: Longest word whose keys are deletes of the whole, and letters taken from each end of a longer one (2 * ENDS <= WHOLE - MAX_EDITS + 1, so the ends stay apart).
+WHOLE, ENDS = 12, 5
 #: Log-odds that one unit of typo cost takes from a candidate's prior.
 PENALTY = 1.2
 #: Likelihoods of typing a nickname, of dropping a part and of adding a middle initial.
@@ -216,11 +218,11 @@ def parse_udf(names: pd.Series) -> pd.DataFrame:
 
 def near_keys(word: str) -> list[str]:
     """Keys that two words within MAX_EDITS edits share: deletes of the whole word, or of both ends of a long one."""
-    whole = deletes(word, MAX_EDITS if len(word) > 5 else 1, 16) if len(word) <= 16 else []
-    if len(word) <= 16 - MAX_EDITS:
+    whole = deletes(word, MAX_EDITS if len(word) > 5 else 1, WHOLE) if len(word) <= WHOLE else []
+    if len(word) <= WHOLE - MAX_EDITS:
         return whole
     # lengths about the limit have both kinds of keys
-    head, tail = word[:7], word[:-8:-1]
+    head, tail = word[:ENDS], word[: -ENDS - 1 : -1]
     return whole + sorted({f"{x}|{y}" for n in range(MAX_EDITS + 1) for x in deletes(head, n) for y in deletes(tail, MAX_EDITS - n)})
 
 
@@ -243,7 +245,7 @@ def channel(forms: DataFrame, key: list[str], word: str, count: str, most: Colum
     other columns of ``forms``, those of the candidate under the name ``canon_...``.
     """
     extra = [c for c in forms.columns if c not in (*key, word, count)]
-    keyed = spread(forms, word).select(*key, word, count, *extra, F.explode(near_keys_udf(word)).alias("_near"))
+    keyed = cut(spread(forms, word).select(*key, word, count, *extra, F.explode(near_keys_udf(word)).alias("_near")))
     other = keyed.select(*key, F.col(word).alias("canon"), F.col(count).alias("canon_count"), *[F.col(c).alias(f"canon_{c}") for c in extra], "_near")
     before = (F.col("canon_count") > F.col(count)) | ((F.col("canon_count") == F.col(count)) & (F.col("canon") < F.col(word)))
     # the deletes are many times what their source's size suggests: never a broadcast
