@@ -15,6 +15,9 @@ from foliomill.plans.analytics import _GR, _STOP, _graph
 from foliomill.plans.common import BOOKS, CHAPTERS, CONCEPTS, books, chapters, concepts
 from foliomill.runtime import table
 
+#: Least length of a quotation (fixed value).
+QUOTE = 12
+
 
 def r10_graph_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters of each concept query by edges of the concept and of those matched with it: distinct concepts + 0.1 x mentions."""
@@ -112,12 +115,13 @@ def x22_concept_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x23_quoted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Book claims of votes that stand in the chapter of the edge, spaces and case apart."""
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    """Book claims of votes that stand in the chapter of the edge, spaces and case apart; shorter ones than QUOTE characters prove nothing."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[ \t\n\f\r]+", " ")))
     votes = table(spark, sf_dir, "alignment_vote").where("book_claim is not null").select("alignment_vote_id", "alignment_edge_id", "book_claim").distinct()
     edges = table(spark, sf_dir, "alignment_edge").select("alignment_edge_id", F.col("to_chapter_id").alias("chapter_id")).distinct()
     rows = votes.join(edges, "alignment_edge_id").join(chapters(spark, sf_dir, "content"), "chapter_id", "left")
-    found = F.coalesce(F.contains(plain("content"), plain("book_claim")), F.lit(False))
+    quote = F.trim(plain("book_claim"), F.lit("\"'“”…. "))
+    found = F.coalesce((F.length(quote) >= QUOTE) & F.contains(plain("content"), quote), F.lit(False))
     return rows.groupBy("alignment_edge_id").agg(F.count("*").alias("n_claims"), F.count_if(found).alias("n_quoted"))
 
 
@@ -193,8 +197,8 @@ SELECT m.source, m.month, round(1 - coalesce(shared, 0) / (s.n + t.n - coalesce(
 c AS (SELECT label, i, avg(x / norm) AS c, count(*) AS n FROM u WHERE norm > 0 GROUP BY 1, 2) SELECT label, any_value(n) AS n_vectors, round(sqrt(sum(c * c)), 6) AS cohesion FROM c GROUP BY 1""",
     "x22_concept_windows": f"""WITH {CHAPTERS}, {CONCEPTS}, e AS (SELECT DISTINCT concept_id, to_chapter_id AS chapter_id FROM alignment_edge WHERE to_chapter_id IS NOT NULL), w AS (SELECT DISTINCT concept_id, chapter_id, content, unnest({_WORDS.format("name")}) AS word FROM e JOIN co USING (concept_id) JOIN ch USING (chapter_id))
 SELECT concept_id, chapter_id, word, substr(content, greatest(instr(lower(content), word) - 40, 1), 100) AS "window" FROM w WHERE instr(lower(content), word) > 0""",
-    "x23_quoted_claims": rf"""WITH {CHAPTERS}, v AS (SELECT DISTINCT alignment_vote_id, alignment_edge_id, book_claim FROM alignment_vote WHERE book_claim IS NOT NULL), e AS (SELECT DISTINCT alignment_edge_id, to_chapter_id AS chapter_id FROM alignment_edge)
-SELECT alignment_edge_id, count(*) AS n_claims, count(*) FILTER (coalesce(contains(lower(trim(regexp_replace(content, '\s+', ' ', 'g'))), lower(trim(regexp_replace(book_claim, '\s+', ' ', 'g')))), false)) AS n_quoted FROM v JOIN e USING (alignment_edge_id) LEFT JOIN ch USING (chapter_id) GROUP BY 1""",
+    "x23_quoted_claims": rf"""WITH {CHAPTERS}, v AS (SELECT DISTINCT alignment_vote_id, alignment_edge_id, trim(lower(trim(regexp_replace(book_claim, '[ \t\n\f\r]+', ' ', 'g'), ' ')), '"''“”…. ') AS q FROM alignment_vote WHERE book_claim IS NOT NULL), e AS (SELECT DISTINCT alignment_edge_id, to_chapter_id AS chapter_id FROM alignment_edge)
+SELECT alignment_edge_id, count(*) AS n_claims, count(*) FILTER (coalesce(length(q) >= 12 AND contains(lower(trim(regexp_replace(content, '[ \t\n\f\r]+', ' ', 'g'), ' ')), q), false)) AS n_quoted FROM v JOIN e USING (alignment_edge_id) LEFT JOIN ch USING (chapter_id) GROUP BY 1""",
     "x13_year_factor": rf"WITH {CHAPTERS}, y AS (SELECT chapter_id, list_sort(list_distinct(regexp_extract_all(content, '\b((?:19|20)\d\d)\b', 1))) AS ys FROM ch) SELECT chapter_id, array_to_string(ys, ',') AS years, CAST(CASE WHEN list_contains(ys, '2024') THEN 1.0 ELSE 0.9 END AS DOUBLE) AS factor FROM y WHERE len(ys) > 0",
     "g34_citations": "WITH e AS (SELECT DISTINCT concept_id, from_doc_section_id AS doc_id FROM alignment_edge WHERE from_doc_section_id IS NOT NULL AND concept_id IS NOT NULL), r AS (SELECT concept_id, doc_id, source, CAST(row_number() OVER (PARTITION BY concept_id, source ORDER BY doc_id) AS INTEGER) AS nth FROM e JOIN documents USING (doc_id) QUALIFY nth <= 2) SELECT concept_id, doc_id, nth, CAST(row_number() OVER (PARTITION BY concept_id ORDER BY nth, source NULLS FIRST, doc_id) AS INTEGER) AS place FROM r",
     "g42_triangles": f"WITH {_GR}, t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM gr a JOIN gr b ON a.dst = b.src JOIN gr c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND b.src < b.dst), u AS (SELECT unnest([x, y, z]) AS concept_id FROM t) SELECT concept_id, count(*) AS n_triangles FROM u GROUP BY 1",

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and SQL.
-MODULES = ("hierarchy", "retrieval", "analytics", "deid", "stream", "knowledge", "concepts", "search", "refresh", "resolve")
+MODULES = ("hierarchy", "retrieval", "analytics", "deid", "stream", "knowledge", "concepts", "search", "refresh", "resolve", "rules")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

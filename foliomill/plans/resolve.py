@@ -117,7 +117,7 @@ def r29_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("key", "n", F.col("b.concept_id").alias("canonical_id"), (-F.col("b.c")).alias("coverage"))
 
 
-def p15_code_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t_code_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched concepts whose names hold different codes."""
     named = concepts(spark, sf_dir, "name").where("name is not null").select("concept_id", F.array_join(code_tokens(F.col("name")), " ").alias("codes"))
     pairs = table(spark, sf_dir, "concept_match").select(F.least("concept_id_a", "concept_id_b").alias("a"), F.greatest("concept_id_a", "concept_id_b").alias("b")).where("a < b").distinct()
@@ -139,7 +139,7 @@ def s_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.intersect(matched).withColumn("found", F.lit("both")).unionByName(aligned.subtract(matched).withColumn("found", F.lit("aligned only")))
 
 
-QUERIES = {f.__name__: f for f in (r20_lookup, r23_resolutions, r24_new_aliases, r25_merged_relations, r28_twin_pairs, r29_canonical, r53_without_aliases, p15_code_conflicts, w03_one_per_source, s_intersections)}
+QUERIES = {f.__name__: f for f in (r20_lookup, r23_resolutions, r24_new_aliases, r25_merged_relations, r28_twin_pairs, r29_canonical, r53_without_aliases, t_code_conflicts, w03_one_per_source, s_intersections)}
 
 _C = f"WITH {CHAPTERS}, {CONCEPTS}"
 _AL = """al AS (SELECT concept_id, min(alias) AS alias FROM (SELECT c.concept_id, o.name AS alias, c.name FROM (SELECT concept_id_a AS a, concept_id_b AS b FROM concept_match WHERE concept_id_a <> concept_id_b UNION SELECT concept_id_b, concept_id_a FROM concept_match WHERE concept_id_a <> concept_id_b) m JOIN co c ON c.concept_id = a JOIN co o ON o.concept_id = b WHERE lower(o.name) <> lower(c.name)) GROUP BY concept_id, lower(alias))"""
@@ -167,7 +167,7 @@ m AS (SELECT coalesce(f.keep, from_id) AS from_id, coalesce(t.keep, to_id) AS to
 l AS (SELECT concept_id AS x, upper(list_aggregate(list_transform(regexp_extract_all(name, '[A-Za-z0-9]+'), lambda w: w[1]), 'string_agg', '')) AS short FROM k WHERE len(string_split(name, ' ')) > 1), s AS (SELECT concept_id AS y, name AS short FROM k WHERE regexp_full_match(name, '[A-Z][A-Z0-9]{{1,5}}'))
 SELECT first AS a, concept_id AS b, 'spelling' AS rule FROM k JOIN f USING (key) WHERE concept_id > first UNION SELECT least(x, first), greatest(x, first), 'parenthetical' FROM p JOIN f ON key = regexp_replace(lower(part), '[^a-z0-9]', '', 'g') WHERE x <> first UNION SELECT least(x, y), greatest(x, y), 'acronym' FROM l JOIN s USING (short)""",
     "r29_canonical": f"{_C}, {RELATIONS}, {_KEY}, {_DG}, r AS (SELECT key, concept_id, coalesce(degree, 0) AS d FROM k LEFT JOIN dg USING (concept_id) WHERE key <> '') SELECT key, count(*) OVER (PARTITION BY key) AS n, concept_id AS canonical_id, d AS coverage FROM r QUALIFY n > 1 AND row_number() OVER (PARTITION BY key ORDER BY d DESC, concept_id) = 1",
-    "p15_code_conflicts": f"{_C}, n AS (SELECT concept_id, array_to_string({_codes('name')}, ' ') AS codes FROM co WHERE name IS NOT NULL), p AS (SELECT DISTINCT least(concept_id_a, concept_id_b) AS a, greatest(concept_id_a, concept_id_b) AS b FROM concept_match WHERE concept_id_a <> concept_id_b) SELECT a, b, x.codes AS codes_a, y.codes AS codes_b FROM p JOIN n x ON x.concept_id = a JOIN n y ON y.concept_id = b WHERE x.codes <> '' AND y.codes <> '' AND x.codes <> y.codes",
+    "t_code_conflicts": f"{_C}, n AS (SELECT concept_id, array_to_string({_codes('name')}, ' ') AS codes FROM co WHERE name IS NOT NULL), p AS (SELECT DISTINCT least(concept_id_a, concept_id_b) AS a, greatest(concept_id_a, concept_id_b) AS b FROM concept_match WHERE concept_id_a <> concept_id_b) SELECT a, b, x.codes AS codes_a, y.codes AS codes_b FROM p JOIN n x ON x.concept_id = a JOIN n y ON y.concept_id = b WHERE x.codes <> '' AND y.codes <> '' AND x.codes <> y.codes",
     "w03_one_per_source": "SELECT concept_id, source, doc_id FROM alignment_edge JOIN documents ON doc_id = from_doc_section_id WHERE concept_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY concept_id, source ORDER BY coalesce(confidence, 0) DESC, doc_id) = 1",
     "s_intersections": "WITH a AS (SELECT concept_id FROM alignment_edge WHERE concept_id IS NOT NULL), m AS (SELECT concept_id_a AS concept_id FROM concept_match WHERE concept_id_a IS NOT NULL UNION ALL SELECT concept_id_b FROM concept_match WHERE concept_id_b IS NOT NULL) SELECT concept_id, 'both' AS found FROM (SELECT concept_id FROM a INTERSECT SELECT concept_id FROM m) UNION ALL SELECT concept_id, 'aligned only' FROM (SELECT concept_id FROM a EXCEPT SELECT concept_id FROM m)",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text as X
 from foliomill.operators import retrieval as R
+from foliomill.operators import vector_index as V
 from foliomill.plans.common import CHAPTERS, CONCEPTS, chapters, concepts
 from foliomill.runtime import cut, table
 
@@ -52,6 +53,17 @@ def r06_vss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_search(vectors, "vec_id", "embedding", vectors.where("vec_id % 20 = 0"), TOP)
 
 
+def r08_indexed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As r06_vss through an index of cells, of which a query visits those next to it."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return V.indexed_search(vectors, "vec_id", "embedding", vectors.where("vec_id % 20 = 0"), TOP)
+
+
+def r08_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact nearest vectors that the index finds."""
+    return V.recall(r08_indexed_vectors(spark, sf_dir), r06_vss(spark, sf_dir))
+
+
 def r12_title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters by the share of inverse-frequency weight of the query's terms that stands in the title."""
     index = R.postings(chapters(spark, sf_dir, "title"), "chapter_id", F.col("title"))
@@ -135,7 +147,7 @@ _ALIGN = f"""es AS (SELECT to_chapter_id AS chapter_id, count(*) FILTER (relatio
 al AS (SELECT chapter_id, n_for, n_against, round(CASE WHEN n_for + n_against = 0 THEN 0.5 ELSE n_for / (n_for + n_against) END, 6) AS alignment, round(1 - exp(-n_for / 3.0), 6) AS corroboration, round({_RECENCY}, 6) AS recency FROM ch JOIN es USING (chapter_id))"""
 _CHAPTER_INDEX = _postings("ch", "chapter_id", "content")
 
-QUERIES = {f.__name__: f for f in (r01_postings, r03_bm25_chapters, r04_bm25_sections, r06_vss, r12_title_search, r30_rrf, r40_alignment_scores, r45_search_chapters)}
+QUERIES = {f.__name__: f for f in (r01_postings, r03_bm25_chapters, r04_bm25_sections, r06_vss, r08_indexed_vectors, r08_recall, r12_title_search, r30_rrf, r40_alignment_scores, r45_search_chapters)}
 
 SQL = {
     "r01_postings": f"WITH {CHAPTERS}, {_CHAPTER_INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliomill.functions import deid, messages, text
-from foliomill.operators import graph, retrieval
+from foliomill.operators import graph, retrieval, vector_index
 from foliomill.plans import analytics
 from foliomill.sources.markdown import sections
 from foliomill.streaming.events import drain, hourly_events
@@ -105,6 +105,21 @@ def test_vector_search_against_brute_force(spark, monkeypatch):
     assert retrieval.vector_search(df, "i", "v", df.limit(0), 3).count() == 0
 
 
+def test_vector_index_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).tolist()) for i in range(1500)] + [(1500, [0.0] * 16), (1501, None)]
+    df = spark.createDataFrame(rows, "i long, v array<double>").withColumn("cell", F.lit("x"))
+    queries = df.where("i % 20 = 0")
+    exact = retrieval.vector_search(df, "i", "v", queries, 10)
+    found = vector_index.indexed_search(df, "i", "v", queries, 10)
+    got = vector_index.recall(found, exact).first()
+    assert (got.n_queries, got.n_exact) == (76, 760) and got.recall >= 0.9
+    every = vector_index.indexed_search(df, "i", "v", queries, 10, 10_000)
+    assert vector_index.recall(every, exact).first().recall == 1.0
+    assert vector_index.indexed_search(df.limit(0), "i", "v", queries, 10).count() == 0
+
+
 def test_scores(spark):
     assert one(spark, retrieval.recency(F.col("a").cast("double")), a=730) == pytest.approx(0.5)
     assert one(spark, retrieval.recency(F.col("a").cast("double")), a=-1) == 1.0
