@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HEADING = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$")
@@ -47,3 +47,19 @@ def sectionize(docs: DataFrame, key: str, text: str, split_level: int = 2) -> Da
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInPandas(run, f"key {kind}, ordinal int, parent int, level int, heading string, body string").withColumnRenamed("key", key)
+
+
+#: Fenced blocks, which are never cut, and paragraphs.
+_BLOCK = r"((?:```|~~~)(?s:.*?)(?:\n *(?:```|~~~)[^\n]*+|\z)|[^\n]++(?:\n(?!\s*+\n|```|~~~)[^\n]++)*+)"
+
+
+def parts(body: Column, most: int = 4000) -> Column:
+    """Blocks of a section packed greedily into parts of at most ``most`` characters; a larger block is a part of its own."""
+    blocks = F.filter(F.regexp_extract_all(body, F.lit(_BLOCK), F.lit(1)), lambda b: F.trim(b) != "")
+
+    def pack(packed: Column, block: Column) -> Column:
+        last, before = F.element_at(packed, -1), F.slice(packed, F.lit(1), F.size(packed) - 1)
+        fits = F.length(last) + F.length(block) <= most
+        return F.when(last == "", F.array(block)).when(fits, F.concat(before, F.array(F.concat(last, F.lit("\n\n"), block)))).otherwise(F.concat(packed, F.array(block)))
+
+    return F.filter(F.aggregate(blocks, F.array(F.lit("")), pack), lambda p: p != "")

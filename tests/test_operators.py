@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import deid, messages, text
 from foliomill.operators import graph, retrieval, vector_index
 from foliomill.plans import analytics
-from foliomill.sources.markdown import sections
+from foliomill.sources.markdown import parts, sections
 from foliomill.streaming.events import drain, hourly_events
 
 
@@ -150,6 +150,15 @@ def test_sections():
     assert sections(None) == [] and sections("no heading") == []
 
 
+def test_parts(spark):
+    body = "aaa\nbbb\n\nccc\n```\none\n\ntwo\n```\nddd\n\n\n" + "e" * 30 + "\n\nf\n~~~\nopen"
+    assert one(spark, parts(F.col("t"), 14), t=body) == ["aaa\nbbb\n\nccc", "```\none\n\ntwo\n```", "ddd", "e" * 30, "f\n\n~~~\nopen"]
+    assert one(spark, parts(F.col("t"), 14), t=" \n\n") == [] and one(spark, parts(F.col("t")), t=None) is None
+    paragraphs = [f"paragraph {i} " + "x" * (i % 50) for i in range(20_000)]
+    got = one(spark, parts(F.col("t")), t="\n\n".join(paragraphs))
+    assert "\n\n".join(got) == "\n\n".join(p for p in paragraphs) and max(map(len, got)) < 4000 + 2 * 200
+
+
 def test_stream_windows(spark, tmp_path):
     rows = [(1, "2024-01-01 00:10:00", "a", 1.0), (2, "2024-01-01 00:50:00", "a", 2.0), (3, "2024-01-01 09:00:00", "b", 5.0)]
     df = spark.createDataFrame(rows, "event_id long, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
