@@ -47,3 +47,25 @@ def walk(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
         frontier = cut(step.join(seen, ["query", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer) of edges (src, dst) that read "src requires dst": 0 for what requires nothing, else one more than the deepest requirement.
+
+    Each round settles the nodes whose requirements are all settled (Kahn); what never gets there is on
+    a circle or requires one, and has layer -1. Rounds are as many as the longest chain.
+    """
+    rest = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    nodes = cut(rest.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    settled = None
+    layer = 0
+    while True:
+        waiting = rest.select(F.col("src").alias("node")).distinct()
+        ready = cut(nodes.join(waiting, "node", "left_anti").withColumn("layer", F.lit(layer)))
+        if ready.isEmpty():
+            last = nodes.withColumn("layer", F.lit(-1))
+            return last if settled is None else settled.unionByName(last)
+        settled = ready if settled is None else settled.unionByName(ready)
+        nodes = cut(nodes.join(ready.select("node"), "node", "left_anti"))
+        rest = cut(rest.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        layer += 1

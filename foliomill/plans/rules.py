@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from foliomill.plans.common import BOOKS, CHAPTERS, CONCEPTS, books, chapters, c
 from foliomill.plans.concepts import _asking
 from foliomill.plans.deid import SALT, _hmac
 from foliomill.plans.relations import RELATIONS, both_ends, relations
-from foliomill.runtime import cut, table
+from foliomill.runtime import checkpoint_dir, cut, table
+from foliomill.sources import sinks
 
 #: Categories of a procedure with the words that tell them, first match wins (fixed values).
 CATEGORIES = (
@@ -170,11 +173,48 @@ def h03_typed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", typed.alias("typed"), offset.alias("days")).select("o_orderkey", "typed", D.shifted(F.col("typed"), F.col("days")).alias("moved"))
 
 
+def i07_author_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors of each book, each once, numbered in order of their position (nulls last), then id."""
+    links = table(spark, sf_dir, "book_author").where("book_id is not null and author_id is not null").groupBy("book_id", "author_id").agg(F.min("position").alias("position"))
+    return links.select("book_id", "author_id", F.row_number().over(Window.partitionBy("book_id").orderBy(F.col("position").asc_nulls_last(), "author_id")).alias("nth"))
+
+
+def a03_stored_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters and documents that edges tie to a concept, those alone that exist (semi joins)."""
+    rows = table(spark, sf_dir, "alignment_edge").where("concept_id is not null")
+    in_chapters = rows.select("concept_id", F.col("to_chapter_id").alias("chapter_id")).join(table(spark, sf_dir, "chapter").select("chapter_id"), "chapter_id", "left_semi").groupBy("concept_id").agg(F.countDistinct("chapter_id").alias("n_chapters"))
+    in_documents = rows.select("concept_id", F.explode(F.array("from_doc_section_id", "to_doc_section_id")).alias("doc_id")).join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi").groupBy("concept_id").agg(F.countDistinct("doc_id").alias("n_documents"))
+    joined = in_chapters.join(in_documents, "concept_id", "full")
+    return joined.select("concept_id", F.coalesce("n_chapters", F.lit(0)).alias("n_chapters"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+def g24_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts in the order that REQUIRES and EXTENDS ask for: 0 for foundations, -1 for circles."""
+    rows = relations(spark, sf_dir).where("relation_type in ('REQUIRES', 'EXTENDS')").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    return G.layers(rows).select(F.col("node").alias("concept_id"), "layer")
+
+
+def h10_audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of an audit trail that two steps over the customers left in a JSON sink."""
+    path = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    customers = table(spark, sf_dir, "customer")
+    sinks.record(customers, path, "pseudonymise", F.col("c_custkey"), F.col("c_name"))
+    sinks.record(customers.where("c_acctbal < 0"), path, "suppress", F.col("c_custkey"), F.col("c_mktsegment"))
+    return sinks.summary(spark, path)
+
+
+def s_partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by language as read back from a Parquet sink partitioned by kind."""
+    path = f"{checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
+    sinks.write_parquet(table(spark, sf_dir, "documents").where("doc_kind is not null").select("doc_id", "lang", "doc_kind"), path, ["doc_kind"])
+    return spark.read.parquet(path).groupBy("doc_kind", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         t_page_kinds, t_stems, t_unit_categories, t_subjects, t_name_overlap, i32_ordinals, g03_capped_neighborhoods, g10_gated_neighbours, g23_domain_dependencies, a19_packages, a21_relation_metrics, a22_lookup_accuracy,
-        r47_unknown_terms, h04_years, h03_typed_dates,
+        r47_unknown_terms, h04_years, h03_typed_dates, i07_author_positions, a03_stored_coverage, g24_layers, h10_audit_trail, s_partitioned_sink,
     )
 }
 
@@ -211,5 +251,10 @@ SELECT *, round(CASE WHEN n_stored > 0 THEN tp / n_stored ELSE 0 END, 6) AS prec
     "r47_unknown_terms": f"WITH {CHAPTERS}, {CONCEPTS}, t AS (SELECT DISTINCT doc_id, lower(term) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9_.-]+')) AS term FROM documents) WHERE length(term) >= 3 AND regexp_matches(term, '[A-Z]|[0-9._-]') AND lower(term) NOT IN ({_STOP})), k AS (SELECT unnest(regexp_extract_all(lower(name), '[a-z][a-z0-9_.-]+')) AS term FROM co UNION SELECT unnest(regexp_extract_all(lower(title), '[a-z][a-z0-9_.-]+')) FROM ch) SELECT term, count(*) AS n_documents FROM t WHERE term NOT IN (SELECT term FROM k) GROUP BY 1",
     "h03_typed_dates": f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS d, CAST(('0x' || substr({_hmac("CAST(o_custkey AS VARCHAR)")}, 1, 16))::UBIGINT % 121 AS INTEGER) - 60 AS days FROM orders)
 SELECT o_orderkey, {_typed("d")} AS typed, {_typed("d + to_days(days)")} AS moved FROM o""",
+    "i07_author_positions": "WITH l AS (SELECT book_id, author_id, min(position) AS position FROM book_author WHERE book_id IS NOT NULL AND author_id IS NOT NULL GROUP BY 1, 2) SELECT book_id, author_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY position NULLS LAST, author_id) AS INTEGER) AS nth FROM l",
+    "a03_stored_coverage": "WITH c AS (SELECT concept_id, count(DISTINCT to_chapter_id) AS n FROM alignment_edge WHERE concept_id IS NOT NULL AND to_chapter_id IN (SELECT chapter_id FROM chapter) GROUP BY 1), x AS (SELECT concept_id, from_doc_section_id AS d FROM alignment_edge UNION ALL SELECT concept_id, to_doc_section_id FROM alignment_edge), d AS (SELECT concept_id, count(DISTINCT d) AS n FROM x WHERE concept_id IS NOT NULL AND d IN (SELECT doc_id FROM documents) GROUP BY 1) SELECT concept_id, coalesce(c.n, 0) AS n_chapters, coalesce(d.n, 0) AS n_documents FROM c FULL JOIN d USING (concept_id)",
+    "g24_layers": f"{_R}, e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM rl WHERE relation_type IN ('REQUIRES', 'EXTENDS')), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), u(node, top, depth) AS (SELECT node, node, 0 FROM n UNION SELECT u.node, dst, depth + 1 FROM u JOIN e ON src = top WHERE depth < 60) SELECT node AS concept_id, CASE WHEN max(depth) >= 60 THEN -1 ELSE max(depth) END AS layer FROM u GROUP BY 1",
+    "h10_audit_trail": "SELECT 'pseudonymise' AS action, count(*) AS n, count(DISTINCT c_custkey) AS n_subjects, count(DISTINCT coalesce(c_name, '')) AS n_contents FROM customer UNION ALL SELECT 'suppress', count(*), count(DISTINCT c_custkey), count(DISTINCT coalesce(c_mktsegment, '')) FROM customer WHERE c_acctbal < 0",
+    "s_partitioned_sink": "SELECT doc_kind, lang, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE doc_kind IS NOT NULL GROUP BY 1, 2",
     "h04_years": "SELECT CAST(date_part('year', CAST(o_orderdate AS DATE)) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import deid, messages, text
 from foliomill.operators import graph, retrieval, vector_index
 from foliomill.plans import analytics
+from foliomill.sources import sinks
 from foliomill.sources.markdown import parts, sections
 from foliomill.streaming.events import drain, hourly_events
 
@@ -135,6 +136,30 @@ def test_neighborhood(spark):
     assert {r.node: r.depth for r in graph.neighborhood(edges, seeds, 2).collect()} == {1: 0, 2: 1, 4: 1, 3: 2, 5: 2}
 
 
+def test_layers(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 1), (5, 6), (6, 5), (7, 5), (8, 8), (None, 1)], "src long, dst long")
+    assert dict(map(tuple, graph.layers(edges).collect())) == {3: 0, 2: 1, 1: 2, 4: 3, 5: -1, 6: -1, 7: -1, 8: -1}
+    assert graph.layers(edges.limit(0)).count() == 0
+
+
+def test_walk(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 1)], "src long, dst long")
+    seeds = spark.createDataFrame([(7, 1), (8, 2), (8, 9)], "query long, node long")
+    got = sorted(map(tuple, graph.walk(edges, seeds, 2).select("query", "node", "depth").collect()))
+    assert got == [(7, 1, 0), (7, 2, 1), (7, 3, 2), (8, 1, 1), (8, 2, 0), (8, 3, 1), (8, 4, 2), (8, 9, 0)]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "a", "x")], "id long, kind string, note string")
+    sinks.write_parquet(df, f"{tmp_path}/p", ["kind"])
+    sinks.write_json(df, f"{tmp_path}/j")
+    for back in (spark.read.parquet(f"{tmp_path}/p"), spark.read.schema(df.schema).json(f"{tmp_path}/j")):
+        assert sorted(map(tuple, back.select("id", "kind", "note").collect())) == [(1, "a", None), (2, "b", "x"), (3, "a", "x")]
+    sinks.record(df, f"{tmp_path}/a", "shift", F.col("kind"), F.col("note"))
+    sinks.record(df.limit(1), f"{tmp_path}/a", "drop", F.col("kind"), F.col("note"))
+    assert sorted(map(tuple, sinks.summary(spark, f"{tmp_path}/a").collect())) == [("drop", 1, 1, 1), ("shift", 3, 2, 2)]
+
+
 def test_text(spark):
     assert one(spark, text.significant_tokens(F.col("t")), t="How to use The data-mesh and data-mesh 2") == ["use", "data-mesh", "data-mesh"]
     assert one(spark, text.acronyms(F.col("t")), t="CDC AND HL7 in CDC, Abc") == ["CDC", "HL7"]
