@@ -11,7 +11,7 @@ from foliomill.llm.leaks import find_leaks
 from foliomill.llm.names import entities, same_pairs
 from foliomill.llm.reference_list import match_values
 from foliomill.llm.sentences import split_sentences
-from foliomill.llm.tokens import default_rank_file, encode_corpus
+from foliomill.llm.tokens import decode, default_rank_file, encode_corpus
 from foliomill.runtime import cut, table
 
 
@@ -83,6 +83,15 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", default_rank_file())
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the ids of each document give its text again, byte for byte (null for null); and how many they are."""
+    rank_file = default_rank_file()
+    encoded = encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", rank_file)
+    decoded = decode(encoded, "ids", rank_file).select("doc_id", F.size("ids").alias("n_ids"), F.md5(F.encode("text", "UTF-8")).alias("decoded"))
+    digests = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("digest"))
+    return decoded.join(digests, "doc_id").select("doc_id", "n_ids", (F.col("decoded") == F.col("digest")).alias("same"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the evaluation item that leaked into them."""
     found = find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
@@ -105,6 +114,7 @@ QUERIES = {
     "p5_agreement": p5_agreement,
     "p5_alpha": p5_alpha,
     "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
     "p8_found": p8_found,
 }

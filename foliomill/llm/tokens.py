@@ -5,10 +5,11 @@ through Arrow batches; the ids of a batch are laid into one flat buffer with off
 row objects are built on the way back.
 
 Long texts are cut before encoding at boundaries where the vocabulary's word pattern is sure
-to start a new piece: before a space that stands between a letter or digit and a letter.
-There the piece on the left cannot take the space (a word takes a space only in front) and
-the piece on the right starts with it, so encoding the parts one by one gives the same ids.
-This bounds the work of one call and keeps one huge text from holding the whole buffer twice.
+to start a new piece: before a space that stands between two letters or digits (the piece on the
+left cannot take the space, the one on the right starts with it), and between a letter or digit and
+a mark that is neither (all but the apostrophe), also those of Chinese, Japanese and Thai. So encoding
+the parts one by one gives the same ids, and the work of one call is bounded by ``LONG`` and the next
+such place, in scripts without spaces too.
 
 Defined results: null and empty texts give an empty list; strings that look like special
 tokens are plain text; text is encoded exactly as it stands. ``decode`` joins the raw bytes
@@ -34,7 +35,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Texts longer than this many characters are cut at safe boundaries.
 LONG = 1 << 16
 
-_SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
+#: Marks that are no letters and no digits: punctuation but the apostrophe, and the vowel and tone signs of Thai.
+_MARKS = "!-&(-/:-@\\[-`{-~…“”„«»、。〃〈-】！-／：-＠ัิ-ฺ็-๎"
+_SAFE = re.compile(rf"(?<=[^\W_]) (?=[^\W_])|(?<=[^\W_])(?=[{_MARKS}])")
 
 
 def default_rank_file() -> str:
