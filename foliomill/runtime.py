@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     A local session that names none (as in tests) gets a temporary one; a cluster must name a folder
-    that all its machines share. The folder of this run is deleted when the program ends.
+    that all its machines share. The folder of this run is deleted when the program ends with the
+    session still open.
     """
     context = spark.sparkContext
     jvm_dir = context._jsc.sc().getCheckpointDir()
@@ -49,10 +51,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(named)
     folder = context._jsc.sc().getCheckpointDir().get()
-    atexit.register(_delete, spark, folder)
+    atexit.register(_delete_at_exit, spark, folder)
     return folder
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):
+        _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
