@@ -81,21 +81,9 @@ def r11_graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph_search(spark, sf_dir, "from_doc_section_id")
 
 
-def _title_search(spark: SparkSession, sf_dir: str, titles: DataFrame) -> DataFrame:
-    """(query, doc, score, rank) of titles (doc, title) by the weight of the query's words in them."""
-    words = cut(titles.select("doc", F.explode(F.array_distinct(X.index_terms(F.col("title")))).alias("term")))
-    n = titles.agg(F.count("*").alias("n"))
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
-    weights = cut(PR.asked(spark, sf_dir).join(df, "term", "left").join(F.broadcast(n)).select("query", "term", F.coalesce(F.log(1 + F.col("n") / (1 + F.col("df"))), F.lit(0.0)).alias("w")))
-    totals = weights.groupBy("query").agg(F.sum("w").alias("all_w"))
-    hit = weights.where("w > 0").join(words, "term").groupBy("query", "doc").agg(F.sum("w").alias("w"))
-    scored = hit.join(totals, "query").select("query", "doc", F.round(F.col("w") / F.col("all_w"), 6).alias("score"))
-    return R.top_per(scored, "query", [F.col("score").desc(), F.col("doc")], PER_MODALITY)
-
-
 def r13_title_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the share of the weight of the query's words that stands in the title."""
-    return _title_search(spark, sf_dir, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "title"))
+    return R.title_search(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "title"), PR.asked(spark, sf_dir), PER_MODALITY)
 
 
 def r14_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +96,7 @@ def r14_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("vss", "doc_section"): r07_vss_documents(spark, sf_dir),
         ("graph", "chapter"): _graph_search(spark, sf_dir, "to_chapter_id"),
         ("graph", "doc_section"): r11_graph_documents(spark, sf_dir),
-        ("title", "chapter"): _title_search(spark, sf_dir, chapters(spark, sf_dir, "title").withColumnRenamed("chapter_id", "doc")),
+        ("title", "chapter"): R.title_search(chapters(spark, sf_dir, "title").withColumnRenamed("chapter_id", "doc"), terms, PER_MODALITY),
         ("title", "doc_section"): r13_title_documents(spark, sf_dir),
         ("api", "doc_section"): r05_api_search(spark, sf_dir),
     }

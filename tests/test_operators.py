@@ -93,6 +93,49 @@ def test_bm25_by_hand(spark):
     assert got[0].score == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2)), abs=1e-6)
 
 
+def _watch_top(monkeypatch):
+    """Counts the rows that searches pass on to be ranked over all tasks."""
+    seen, plain = [], retrieval.top_per
+    monkeypatch.setattr(retrieval, "top_per", lambda df, *rest: (seen.append(df.count()), plain(df, *rest))[1])
+    return seen
+
+
+def test_bm25_writes_no_pairs_of_query_and_doc(spark, monkeypatch):
+    seen = _watch_top(monkeypatch)
+    docs = [(d, "apple " * (d % 5) + "pear " * (d % 3) + "kiwi") for d in range(400)]
+    queries = [(q, term) for q in range(50) for term in ("kiwi", ("apple", "pear")[q % 2], f"unknown{q}")]
+    rows = retrieval.versions(spark.createDataFrame(docs, "d long, t string"), "d", None, F.col("t"))
+    got = retrieval.bm25(rows, spark.createDataFrame(queries, "query long, term string"), 3).collect()
+    # two sets of terms, four tasks; 20,000 pairs of query and doc
+    assert sum(seen) <= 2 * 4 * 3
+    words = {d: t.split() for d, t in docs}
+    df = {term: sum(term in w for w in words.values()) for term in ("apple", "pear", "kiwi")}
+    avg = sum(map(len, words.values())) / 400
+
+    def score(q, d):
+        tf = {term: words[d].count(term) for term in ("kiwi", ("apple", "pear")[q % 2])}
+        return round(sum(math.log((400 - df[t] + 0.5) / (df[t] + 0.5) + 1) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words[d]) / avg)) for t, n in tf.items()), 6)
+
+    for q in range(50):
+        want = sorted(range(400), key=lambda d, q=q: (-score(q, d), d))[:3]
+        mine = sorted((r for r in got if r.query == q), key=lambda r: r["rank"])
+        assert [(r.doc, r["rank"]) for r in mine] == [(d, i) for i, d in enumerate(want, 1)]
+        assert [r.score for r in mine] == pytest.approx([score(q, d) for d in want], abs=2e-6)
+
+
+def test_title_search_writes_no_pairs_of_query_and_doc(spark, monkeypatch):
+    seen = _watch_top(monkeypatch)
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", 1)
+    titles = spark.createDataFrame([(d, ("Apple pear", "Pear pear", "Kiwi", None)[d % 4]) for d in range(400)] + [(0, "pear apple")], "doc long, title string")
+    queries = spark.createDataFrame([(q, term) for q in range(50) for term in (("apple", "pear", "plum") if q % 2 else ("pear",))] + [(50, "plum")], "query long, term string")
+    got = retrieval.title_search(titles, queries, 3).collect()
+    assert sum(seen) <= 2 * 4 * 3
+    ends = {0: [(0, 1.0), (1, 1.0), (4, 1.0)], 1: [(0, 1.0), (4, 1.0), (8, 1.0)]}
+    for q in range(51):
+        assert [(r.doc, r.score) for r in sorted((r for r in got if r.query == q), key=lambda r: r["rank"])] == (ends[q % 2] if q < 50 else [])
+    assert retrieval.title_search(titles.limit(0), queries, 3).count() == 0
+
+
 def test_vector_search_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(60, [0.0] * 8), (61, None)]
