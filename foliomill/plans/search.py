@@ -16,11 +16,13 @@ from foliomill.functions import text as X
 from foliomill.operators import retrieval as R
 from foliomill.plans import retrieval as PR
 from foliomill.plans.analytics import _GR, _graph
-from foliomill.plans.common import BOOKS, CHAPTERS, CONCEPTS, books, chapters, concepts
-from foliomill.runtime import cut, table
+from foliomill.plans.common import BOOKS, CHAPTERS, CONCEPTS, _latest, books, chapters, concepts
+from foliomill.runtime import cut, small_or_shuffled, table
 
 #: Results of a modality, of the pool that is scored and of the answer (fixed values).
 PER_MODALITY, POOL, LIMIT = 20, 25, 5
+#: Different results up to so many are broadcast to what is known of them; more are shuffled.
+MAX_RESULTS = 200_000
 #: Weights of recency, alignment, relevance, corroboration and authority (fixed values).
 PROFILES = {
     "balanced_interactive": (0.10, 0.10, 0.45, 0.15, 0.20),
@@ -114,12 +116,21 @@ def _pool(fanout: DataFrame) -> DataFrame:
     return R.top_per(fused, "query", [F.col("rrf").desc(), F.col("kind"), F.col("doc")], POOL)
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kind, doc, title, excerpt, book_title, day, authority, api_page) of everything that can be found."""
+def _pages(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
+    """(kind, doc, title, excerpt, book_title, day, authority, api_page) of what stands in a table ``results`` (kind, doc).
+
+    Other rows are dropped and contents are cut to the excerpt before anything is shuffled.
+    """
+
+    def wanted(name: str, key: str, kind: str) -> DataFrame:
+        ids = results.where(F.col("kind") == kind).select(F.col("doc").alias(key)).distinct()
+        return table(spark, sf_dir, name).join(small_or_shuffled(ids, MAX_RESULTS), key, "left_semi")
+
     shelf = books(spark, sf_dir, "title", "publication_date", "publisher").select("book_id", F.col("title").alias("book_title"), F.col("publication_date").alias("day"), X.authority(F.col("publisher")).alias("authority"))
-    parts = chapters(spark, sf_dir, "book_id", "title", "content").select(F.lit("chapter").alias("kind"), F.col("chapter_id").alias("doc"), "title", F.substring("content", 1, 160).alias("excerpt"), "book_id")
+    texts = wanted("chapter", "chapter_id", "chapter").withColumn("excerpt", F.substring("content", 1, 160))
+    parts = _latest(texts, "chapter_id", "indexed_at", ["book_id", "title", "excerpt"]).select(F.lit("chapter").alias("kind"), F.col("chapter_id").alias("doc"), "title", "excerpt", "book_id")
     in_books = parts.join(shelf, "book_id", "left").withColumn("api_page", F.lit(False))
-    documents = table(spark, sf_dir, "documents").select(F.lit("doc_section").alias("kind"), F.col("doc_id").alias("doc"), "title", F.lit(None).cast("string").alias("excerpt"), F.lit(None).cast("string").alias("book_title"), F.col("collected_at").cast("date").alias("day"), F.lit(None).cast("double").alias("authority"), F.coalesce(F.col("source").startswith("api:"), F.lit(False)).alias("api_page"))
+    documents = wanted("documents", "doc_id", "doc_section").select(F.lit("doc_section").alias("kind"), F.col("doc_id").alias("doc"), "title", F.lit(None).cast("string").alias("excerpt"), F.lit(None).cast("string").alias("book_title"), F.col("collected_at").cast("date").alias("day"), F.lit(None).cast("double").alias("authority"), F.coalesce(F.col("source").startswith("api:"), F.lit(False)).alias("api_page"))
     return in_books.select(documents.columns).unionByName(documents)
 
 
@@ -148,8 +159,8 @@ def t_seed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, pool: DataFrame) -> DataFrame:
-    """The pool with the five components; results of one book and beginning are folded into the best."""
-    rows = pool.drop("rank").join(_pages(spark, sf_dir), ["kind", "doc"], "left")
+    """The pool (a table) with the five components; results of one book and beginning are folded into the best."""
+    rows = pool.drop("rank").join(_pages(spark, sf_dir, pool), ["kind", "doc"], "left")
     tokens = _weights(spark, sf_dir).groupBy("query").agg(F.collect_list(F.struct("token", "w")).alias("tokens"))
     asking = _queries(spark, sf_dir).select("query", F.col("api").alias("asks_api"), X.years(F.col("name")).alias("years"))
     rows = rows.join(tokens, "query", "left").join(asking, "query")
@@ -205,8 +216,9 @@ def r38_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r45_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: the five best results of each query under the balanced profile, with their titles."""
-    best = _combined(r41_components(spark, sf_dir)).where((F.col("profile") == "balanced_interactive") & (F.col("place") <= LIMIT))
-    return best.select("query", "kind", "doc", "combined", "place").join(_pages(spark, sf_dir).select("kind", "doc", "title", "book_title"), ["kind", "doc"], "left")
+    pool = _pool_for_scores(spark, sf_dir)
+    best = _combined(_scored(spark, sf_dir, pool)).where((F.col("profile") == "balanced_interactive") & (F.col("place") <= LIMIT))
+    return best.select("query", "kind", "doc", "combined", "place").join(_pages(spark, sf_dir, pool).select("kind", "doc", "title", "book_title"), ["kind", "doc"], "left")
 
 
 def r43_interactive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import deid, messages, text
 from foliomill.operators import graph, retrieval, vector_index
-from foliomill.plans import analytics
+from foliomill.plans import analytics, search
 from foliomill.sources import sinks
 from foliomill.sources.markdown import parts, sections
 from foliomill.streaming.events import drain, hourly_events
@@ -136,6 +136,20 @@ def test_title_search_writes_no_pairs_of_query_and_doc(spark, monkeypatch):
     assert retrieval.title_search(titles.limit(0), queries, 3).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_pages_hold_the_results_only(spark, tmp_path, monkeypatch, most):
+    at = "timestamp'2025-01-0%d'"
+    chapters = [(1, at % 1, "old", "x"), (1, at % 2, "new", "y"), (2, "null", "other", "z"), (3, at % 1, "third", "w")]
+    rows = " union all ".join(f"select {i}L as chapter_id, {t} as indexed_at, 7L as book_id, '{title}' as title, repeat('{c}', 500) as content" for i, t, title, c in chapters)
+    spark.sql(rows).write.parquet(f"{tmp_path}/chapter.parquet")
+    spark.sql("select 7L as book_id, timestamp'2025-01-01' as updated_at, 'Book' as title, date'2025-01-01' as publication_date, 'House' as publisher").write.parquet(f"{tmp_path}/book.parquet")
+    spark.sql("select id as doc_id, concat('d', id) as title, 'web' as source, timestamp'2025-01-01' as collected_at from range(5)").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(search, "MAX_RESULTS", most)
+    results = spark.createDataFrame([("chapter", 1), ("chapter", 1), ("chapter", 3), ("chapter", 9), ("doc_section", 3)], "kind string, doc long")
+    got = search._pages(spark, str(tmp_path), results).collect()
+    assert sorted((r.kind, r.doc, r.title, r.excerpt) for r in got) == [("chapter", 1, "new", "y" * 160), ("chapter", 3, "third", "w" * 160), ("doc_section", 3, "d3", None)]
+
+
 def test_vector_search_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(60, [0.0] * 8), (61, None)]
