@@ -228,9 +228,10 @@ def r43_interactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     against = table(spark, sf_dir, "alignment_edge").where("relation_type = 'CONTRADICTS'")
     ways = [("chapter", "to_chapter_id", "doc_section", "from_doc_section_id"), ("doc_section", "from_doc_section_id", "chapter", "to_chapter_id"), ("doc_section", "from_doc_section_id", "doc_section", "to_doc_section_id")]
     pairs = reduce(DataFrame.unionByName, [against.select(F.lit(a).alias("p_kind"), F.col(x).alias("p_doc"), F.lit(b).alias("kind"), F.col(y).alias("doc")) for a, x, b, y in ways]).distinct()
-    conflict = primary.join(pairs, ["p_kind", "p_doc"]).select("query", "kind", "doc", F.lit("conflict").alias("found"))
+    # joined by both ends: a result meets one pair at most, however many contradict its primary
+    conflict = pairs.withColumn("found", F.lit("conflict"))
     role = F.when(F.col("place") == 1, "primary").otherwise(F.coalesce("found", F.lit("corroboration")))
-    roles = rows.join(conflict, ["query", "kind", "doc"], "left").select("query", "kind", "doc", "combined", "place", role.alias("role"))
+    roles = rows.join(primary, "query").join(conflict, ["p_kind", "p_doc", "kind", "doc"], "left").select("query", "kind", "doc", "place", role.alias("role"))
     order = Window.partitionBy("query", "role").orderBy("place")
     return roles.withColumn("nth", F.row_number().over(order)).where("nth <= 5").select("query", "role", "kind", "doc", "nth")
 

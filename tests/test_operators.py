@@ -150,6 +150,22 @@ def test_pages_hold_the_results_only(spark, tmp_path, monkeypatch, most):
     assert sorted((r.kind, r.doc, r.title, r.excerpt) for r in got) == [("chapter", 1, "new", "y" * 160), ("chapter", 3, "third", "w" * 160), ("doc_section", 3, "d3", None)]
 
 
+def test_interactive_joins_no_more_rows_than_the_pool(spark, tmp_path, monkeypatch):
+    # 20 queries of four results each have chapter 1 as primary, which 500 documents contradict
+    scored = spark.sql("select q.id as query, if(d.id < 3, 'chapter', 'doc_section') as kind, d.id as doc, 1.0 / d.id as rrf, 0.5 as recency, 0.5 as alignment, 1.0 / d.id as relevance, 0.5 as corroboration, 0.5 as authority from range(20) q, range(1, 5) d")
+    edges = "select id + 4 as from_doc_section_id, 1L as to_chapter_id, cast(null as long) as to_doc_section_id, 'CONTRADICTS' as relation_type from range(500)"
+    others = " union all select 3L, 1L, null, 'CORROBORATES' union all select 3L, 2L, null, 'CONTRADICTS' union all select null, 1L, 4L, 'CONTRADICTS' union all select 4L, 1L, 3L, 'CONTRADICTS'"
+    spark.sql(edges + others).write.parquet(f"{tmp_path}/alignment_edge.parquet")
+    monkeypatch.setattr(search, "r41_components", lambda *_: scored)
+    joined, plain = [], type(scored).join
+    monkeypatch.setattr(type(scored), "join", lambda *a, **k: (joined.append(plain(*a, **k)), joined[-1])[1])
+    got = search.r43_interactive(spark, str(tmp_path)).collect()
+    assert joined and max(df.count() for df in joined) <= 80
+    assert sorted((r.query, r.role, r.kind, r.doc, r.nth) for r in got) == sorted(
+        (q, *r) for q in range(20) for r in (("primary", "chapter", 1, 1), ("corroboration", "chapter", 2, 1), ("corroboration", "doc_section", 3, 2), ("conflict", "doc_section", 4, 1))
+    )
+
+
 def test_vector_search_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(60, [0.0] * 8), (61, None)]
